@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, packing
+from eventloom.llm import exact_dedup, language_id, mixing, packing
 from eventloom.llm.common import keep
 from eventloom.llm.queries import tokenizer_path
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or between languages, go."""
+    return language_id.keep_languages(docs, language_id.train(docs))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the smallest doc_id stays."""
     index = exact_dedup.new_index(spark)
@@ -34,6 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", known_language),
     ("exact dedup", drop_copies),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack),
