@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, language_id, mixing, packing
+from eventloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from eventloom.llm.common import keep
 from eventloom.llm.queries import tokenizer_path
 
@@ -25,6 +25,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         index.drop()
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each class of near copies stays."""
+    return near_dedup.deduplicate(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents repeated or left out so that sources meet their targets."""
     return mixing.mix(docs)
@@ -40,6 +45,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", known_language),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack),
 ]

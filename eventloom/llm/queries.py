@@ -12,6 +12,7 @@ from eventloom.llm import (
     language_id,
     licenses,
     mixing,
+    near_dedup,
     packing,
     quality_classifier,
     quality_rules,
@@ -35,6 +36,10 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs))
@@ -78,6 +83,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_count": op1_token_count,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
