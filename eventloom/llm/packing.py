@@ -20,6 +20,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -38,28 +39,56 @@ END = np.zeros(1, "<u4").tobytes()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkIds(dict):
-    """Ids (little-endian unsigned 32-bit bytes) of space-led chunks, kept up to a bound.
+#: Punctuation that ends a word; the pre-tokeniser parts it from the letters before it.
+WORD_ENDS = ".,;:!?"
+#: A line break between two visible characters is a token run of its own.
+LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
-    A byte-level pre-tokeniser never joins what lies on both sides of a space that
-    follows a visible character, so a text may be encoded chunk by chunk.
-    """
 
-    def __init__(self, encode, limit: int = 400_000):
+class Remembered(dict):
+    """Results of a function, those seen lately kept up to a bound."""
+
+    def __init__(self, compute, limit: int = 500_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.compute, self.limit = compute, limit
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self.encode(" " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        found = self.compute(key)
+        if len(key) <= 64:
+            self[key] = found
+        return found
+
+
+class TextIds:
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    A byte-level pre-tokeniser never joins what lies on both sides of a space that
+    follows a visible character, of a lone line break, or of a word's end and the
+    punctuation after it; so a text is encoded in such parts, and parts that occur
+    again are not encoded again.
+    """
+
+    def __init__(self, encode, encode_word):
+        self.encode = encode
+        self.words = Remembered(encode_word)
+        self.after_space = Remembered(lambda chunk: self._chunk(" ", chunk))
+        self.after_break = Remembered(lambda chunk: self._chunk("", chunk))
+        self.line_break = encode("\n")
+
+    def _chunk(self, lead: str, chunk: str) -> bytes:
+        word = chunk.rstrip(WORD_ENDS)
+        if word.isalpha():
+            return self.words[lead + word] + (self.words[chunk[len(word) :]] if len(word) < len(chunk) else b"")
+        return self.encode(lead + chunk)
+
+    def _line(self, line: str) -> bytes:
+        first, *rest = chunks(line)
+        return self.after_break[first] + b"".join(map(self.after_space.__getitem__, rest))
 
     def of(self, text: str) -> bytes:
-        first, *rest = chunks(text)
-        return b"".join([self.encode(first), *map(self.__getitem__, rest)])
+        return self.line_break.join(map(self._line, LONE_BREAK.split(text)))
 
 
 def chunks(text: str) -> list[str]:
@@ -76,10 +105,17 @@ def chunks(text: str) -> list[str]:
     return joined
 
 
-_loaded: dict[str, ChunkIds] = {}
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if visible, else one from 256 on."""
+    visible = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_loaded: dict[str, TextIds] = {}
 
 
-def tokenizer(path: str) -> ChunkIds:
+def tokenizer(path: str) -> TextIds:
     """The tokeniser of a task, loaded once per Python worker."""
     if path not in _loaded:
         import os
@@ -89,7 +125,12 @@ def tokenizer(path: str) -> ChunkIds:
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        _loaded[path] = ChunkIds(lambda text: np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        letters, pack_ids = byte_letters(), lambda ids: np.array(ids, "<u4").tobytes()
+        _loaded[path] = TextIds(
+            lambda text: pack_ids(own.encode(text, add_special_tokens=False).ids),
+            # What is one run for the pre-tokeniser goes to its model at once.
+            lambda word: pack_ids([t.id for t in own.model.tokenize(word.encode().decode("latin-1").translate(letters))]),
+        )
     return _loaded[path]
 
 
