@@ -1,6 +1,10 @@
-"""Registered queries over the derived views, each with the SQL that DuckDB runs."""
+"""All registered queries with the SQL that DuckDB runs."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from eventloom.plans import feed_queries
+
+_MODULES = (feed_queries,)
+
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
