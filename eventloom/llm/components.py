@@ -16,6 +16,7 @@ from eventloom.llm.common import keep
 
 def _hang(edges: DataFrame, only_larger: bool) -> DataFrame:
     """Of edges (u, v): each v to the smallest of u and its neighbours; with ``only_larger``, only v > u."""
+    # Written first, so that the join reads two tables.
     lowest = keep(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "lowest")
     joined = edges.join(lowest, "u")
     moved = joined.filter("v > u").select("v", "m") if only_larger else joined.select("v", "m").union(lowest.select(F.col("u").alias("v"), "m"))
@@ -25,14 +26,14 @@ def _hang(edges: DataFrame, only_larger: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node (links: a, b); the component is its smallest node."""
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
     while True:
+        # Done when every node hangs on one other that hangs on none.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+        ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if ends.filter("hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty():
+            break
         both = edges.union(edges.select("v", "u"))
-        larger = keep(_hang(keep(both, "both"), only_larger=True), "larger")
+        larger = keep(_hang(both, only_larger=True), "larger")
         edges = keep(_hang(larger, only_larger=False), "smaller")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")

@@ -194,8 +194,9 @@ class Settings:
     rows: int = 4
     similarity: float = 0.8
     weighted: bool = False
-    #: In a bucket of at most so many nodes all pairs are compared.
-    small_bucket: int = 12
+    #: In a bucket of at most so many nodes all pairs are compared: at first, and among what a hub left unlinked.
+    small_bucket: int = 16
+    small_rest: int = 200
 
 
 def sign(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -255,17 +256,17 @@ def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def _candidates(buckets: DataFrame, settings: Settings) -> DataFrame:
+def _candidates(buckets: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b, star) of buckets (bucket, node): all of a small bucket, those with the hub of a large one.
 
     Both sides of every join are written tables, so Spark can split a large bucket.
     """
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     live = keep(buckets.join(keep(counts.filter("n > 1"), "bucket-sizes"), "bucket"), "buckets")
-    small = live.filter(F.col("n") <= settings.small_bucket).select("bucket", "node")
+    small = live.filter(F.col("n") <= most).select("bucket", "node")
     other = small.withColumnRenamed("node", "b")
     close = small.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b").select("a", "b", F.lit(False).alias("star"))
-    large = live.filter(F.col("n") > settings.small_bucket)
+    large = live.filter(F.col("n") > most)
     scores = keep(large.groupBy("node").agg(F.sum("n").alias("score")), "hub-scores")
     scored = keep(large.join(scores, "node").select("bucket", "node", "score"), "scored")
     # The hub: largest score, then smallest node, in one number pair that a partial maximum keeps.
@@ -275,6 +276,15 @@ def _candidates(buckets: DataFrame, settings: Settings) -> DataFrame:
     return close.unionByName(stars).distinct()
 
 
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """Of buckets (bucket, node, component) that hold the same nodes one; none that holds a single component."""
+    members = rows.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
+    )
+    chosen = members.filter("low <> high").groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))
+    return rows.join(keep(chosen.select("bucket"), "mixed"), "bucket").select("bucket", "node")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Add each node's component; a node without a link is its own."""
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -283,30 +293,35 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket")).select("bucket", "node")
-    pairs = keep(_candidates(buckets, settings), "candidates")
+    pairs = keep(_candidates(buckets, settings.small_bucket), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = members.join(nodes.select("node", "first_id", F.col("key").alias("wanted_key")), "node")
     sets = keep(shingle_sets(docs, wanted, settings), "shingle-sets")
-    tested = edges = None
+    tested = labels = None
     while True:
         found = keep(compare(pairs, sets, settings), "compared")
         linked = found.filter("linked").select("a", "b")
-        edges = linked if edges is None else keep(edges.union(linked).distinct(), "edges")
         tested = pairs.select("a", "b") if tested is None else keep(tested.union(pairs.select("a", "b")), "tested")
-        labels = components(edges)
+        if labels is None:
+            labels = components(linked)
+        elif not linked.isEmpty():
+            labels = components(linked.union(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if found.filter("star").isEmpty():
+            return labels
         # Members of one hub's buckets meet again by the shingles that the hub lacks.
         stars = _labelled(found.filter("star").select(F.col("a").alias("node"), F.col("b").alias("hub"), "extra"), labels)
         hub_labels = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
         stars = stars.join(hub_labels, "hub", "left").withColumn("left", F.col("component") != F.coalesce("hub_component", "hub"))
         stars = keep(stars.select("hub", "node", "component", "left", "extra"), "stars")
-        loose = stars.filter("left").select("hub", F.explode("extra").alias("shingle")).groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("n_loose"))
+        loose = keep(stars.filter("left").select("hub", F.explode("extra").alias("shingle")).distinct(), "loose")
         spread = stars.select("hub", "node", "component", F.explode("extra").alias("shingle"))
-        met = keep(spread.join(keep(loose, "loose"), ["hub", "shingle"]).select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "component").distinct(), "met")
-        mixed_buckets = met.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        again = keep(met.join(keep(mixed_buckets, "mixed"), "bucket").select("bucket", "node"), "again")
+        met = keep(spread.join(loose, ["hub", "shingle"]).select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "component"), "met")
+        again = keep(_one_of_equal(met), "again")
         if again.isEmpty():
             return labels
-        new = _candidates(again, settings).join(tested.distinct().withColumnsRenamed({"a": "ta", "b": "tb"}), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+        seen = tested.distinct().withColumnsRenamed({"a": "ta", "b": "tb"})
+        new = _candidates(again, settings.small_rest)
+        new = new.join(seen, (F.least("a", "b") == F.least("ta", "tb")) & (F.greatest("a", "b") == F.greatest("ta", "tb")), "left_anti")
         own = _labelled(new.withColumnRenamed("a", "node"), labels).withColumnsRenamed({"node": "a", "component": "ca"})
         pairs = _labelled(own.withColumnRenamed("b", "node"), labels).withColumnsRenamed({"node": "b", "component": "cb"})
         pairs = keep(pairs.filter("ca <> cb").select("a", "b", "star"), "candidates")
