@@ -146,15 +146,14 @@ def _minutes_ahead(now: Column) -> Column:
 
 def time_label(now: Column) -> Column:
     """Ended, happening, or how far ahead."""
-    minutes = _minutes_ahead(now)
-    whole = rounded(minutes)
-    whole_hours = rounded(minutes / 60)
+    whole = rounded(_minutes_ahead(now))
+    whole_hours = rounded(whole / 60)
     return (
-        F.when(is_past(now), "Ended")
+        F.when(F.col("eff_end") <= now, "Ended")
         .when(F.col("eff_start") <= now, "HAPPENING NOW")
         .when(whole <= 60, F.concat(F.lit("Starts in "), whole.cast("string"), F.lit(" min")))
         .when(whole_hours < 24, F.concat(F.lit("In "), whole_hours.cast("string"), F.lit("h")))
-        .otherwise(F.concat(F.lit("In "), rounded(minutes / 1440).cast("string"), F.lit("d")))
+        .otherwise(F.concat(F.lit("In "), rounded(whole_hours / 24).cast("string"), F.lit("d")))
     )
 
 

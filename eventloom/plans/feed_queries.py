@@ -142,11 +142,11 @@ _LABELS_SQL = f"""
 WITH {TIMED_SQL}, ahead AS (
   SELECT *, CAST(epoch_us(eff_start) - epoch_us({TS}) AS DOUBLE) / 60000000 AS m FROM timed
 ), whole AS (
-  SELECT *, CAST(floor(m + 0.5) AS BIGINT) AS mins, CAST(floor(m / 60 + 0.5) AS BIGINT) AS hrs, greatest(0, CAST(floor(m + 0.5) AS BIGINT)) AS um FROM ahead
+  SELECT *, CAST(floor(m + 0.5) AS BIGINT) AS mins, CAST(floor(floor(m + 0.5) / 60 + 0.5) AS BIGINT) AS hrs, greatest(0, CAST(floor(m + 0.5) AS BIGINT)) AS um FROM ahead
 ), uh AS (SELECT *, CAST(floor(um / 60.0::DOUBLE + 0.5) AS BIGINT) AS uhrs FROM whole)
 SELECT id,
-  CASE WHEN eff_start <= {TS} AND eff_end <= {TS} THEN 'Ended' WHEN eff_start <= {TS} THEN 'HAPPENING NOW' WHEN mins <= 60 THEN 'Starts in ' || mins || ' min'
-    WHEN hrs < 24 THEN 'In ' || hrs || 'h' ELSE 'In ' || CAST(floor(m / 1440 + 0.5) AS BIGINT) || 'd' END AS time_label,
+  CASE WHEN eff_end <= {TS} THEN 'Ended' WHEN eff_start <= {TS} THEN 'HAPPENING NOW' WHEN mins <= 60 THEN 'Starts in ' || mins || ' min'
+    WHEN hrs < 24 THEN 'In ' || hrs || 'h' ELSE 'In ' || CAST(floor(hrs / 24.0::DOUBLE + 0.5) AS BIGINT) || 'd' END AS time_label,
   CASE WHEN eff_start <= {TS} AND eff_start >= {TS} - INTERVAL 6 HOUR AND eff_end > {TS} THEN 'Happening now' WHEN um < 60 THEN 'Starts in ' || um || ' min'
     WHEN uhrs <= 6 THEN 'Starts in ' || uhrs || 'h' WHEN eff_end > {TS} AND eff_start <= date_trunc('day', {TS}) + INTERVAL 27 HOUR THEN 'Tonight' ELSE 'Next up' END AS urgent_label
 FROM uh
