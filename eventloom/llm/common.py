@@ -1,44 +1,21 @@
-"""Helpers shared by the training-data operators.
-
-Tables that a later step reads more than once are written under the folder that
-the session names in ``spark.checkpoint.dir`` (all executors share it), so a lost
-executor costs a re-read and never a recomputation of the whole lineage.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.sources.tables import keep, shared_dir
+
+__all__ = ["BLANKS", "WORDS", "is_held_out", "keep", "lower_ascii", "shared_dir", "text_of", "word_count"]
+
 #: White space and words of the digest contracts: ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
-#: Used only where a session names no checkpoint folder (tests on one machine).
-LOCAL_CHECKPOINT_DIR = "/tmp/eventloom-checkpoints"
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from the session's settings."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = LOCAL_CHECKPOINT_DIR
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

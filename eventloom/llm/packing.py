@@ -94,7 +94,7 @@ class TextIds:
 def chunks(text: str) -> list[str]:
     """Cut before every space that follows a visible character; the space itself goes."""
     parts = text.split(" ")
-    if len(parts) < 2 or (all(parts) and not any(map(str.isspace, [p[-1] for p in parts]))):
+    if len(parts) < 2 or parts == text.split():  # single spaces between words, and no other white space
         return parts
     joined = parts[:1]
     for part in parts[1:]:
