@@ -39,7 +39,8 @@ def tokens(text: Column) -> Column:
 def without_venue(title: Column, venue: Column) -> Column:
     """The normalised title without " at <venue>" or " in <venue>" and what follows."""
     t, v = normalized(title), normalized(venue)
-    found = F.regexp_extract(t, F.concat(F.lit(r"^(.+?)\s+(?:at|in)\s+\Q"), v, F.lit(r"\E(?![A-Za-z0-9_]).*$")), 1)
+    pattern = F.concat(F.lit(r"^(.+?)\s+(?:at|in)\s+\Q"), v, F.lit(r"\E(?![A-Za-z0-9_]).*$"))
+    found = F.call_function("regexp_extract", t, pattern, F.lit(1))
     return F.when((v == "") | (found == ""), t).otherwise(F.trim(found))
 
 
