@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from eventloom.functions.text import host
 from eventloom.operators.feed import first_by
@@ -21,7 +22,7 @@ EVENT_PATH = r"(?i)/(events?|calendar|shows?|live-music|whats-on|entertainment)(
 LD_JSON = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link as an absolute http(s) url; null if it is none. The library has no native form of this."""
 
