@@ -158,5 +158,6 @@ def scan(docs: DataFrame, base: list[Template] = BASE, notices: list[Template] =
         F.array_max(places).cast("long").alias("last_word"),
         joined(base_labels).alias("base_labels"),
         joined(F.concat(base_labels, more)).alias("labels"),
-        F.greatest(*[F.col(f"c_{names[t]}") for t in templates]).alias("score"),
+        # Sums of shares in floating point may pass 1 by a last digit.
+        F.least(F.lit(1.0), F.greatest(*[F.col(f"c_{names[t]}") for t in templates])).alias("score"),
     )
