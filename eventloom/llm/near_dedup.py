@@ -14,7 +14,9 @@ links a dense group with as many pairs as members. What a hub leaves unlinked is
 not dropped: its members meet again in buckets by the shingles that they have and
 the hub lacks, and so on until no bucket holds two components. If U is not similar
 to a hub R and neither U nor A is smaller than R, then U and A can only be similar
-if they share such a shingle; smaller texts have their other bands besides.
+if they share such a shingle; smaller texts have their other bands besides. Of a
+text of n shingles only the rarest n - 0.8 n + 1 of those count: the rarest shingle
+that two similar texts share is among them in both.
 Similarity is verified on whole shingle sets; links join nodes to components.
 
 Defined cases: texts equal byte by byte, empty and null ones included, share a class;
@@ -35,7 +37,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import keep, text_of
@@ -238,7 +240,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
 
 
 def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b, star) with ``linked`` and, for pairs with a hub b, the shingles that only a has."""
+    """Pairs (a, b, star) with ``linked`` and, for pairs with a hub b, the shingles that only a has and how many of them count."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if settings.weighted else []))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if settings.weighted else []))
     both = pairs.join(left, "a").join(right, "b")
@@ -251,8 +253,15 @@ def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     else:
         common = F.size(F.array_intersect("sa", "sb"))
         either = F.size("sa") + F.size("sb") - common
+    n = F.size("sa")
     return both.select(
-        "a", "b", "star", (common >= F.lit(settings.similarity) * either).alias("linked"), F.when(F.col("star"), F.array_except("sa", "sb")).alias("extra")
+        "a",
+        "b",
+        "star",
+        (common >= F.lit(settings.similarity) * either).alias("linked"),
+        F.when(F.col("star"), F.array_except("sa", "sb")).alias("extra"),
+        # Repeats may weigh more than their number, so a weighted text keeps all.
+        (n if settings.weighted else n - F.floor(F.lit(settings.similarity) * n) + 1).alias("most"),
     )
 
 
@@ -285,6 +294,15 @@ def _one_of_equal(rows: DataFrame) -> DataFrame:
     return rows.join(keep(chosen.select("bucket"), "mixed"), "bucket").select("bucket", "node")
 
 
+def _meetings(stars: DataFrame) -> DataFrame:
+    """(bucket, node, component): stars of one hub that share one of their rarest shingles, with one that is left among them."""
+    spread = stars.select("hub", "node", "component", "left", "most", F.explode("extra").alias("shingle"))
+    counts = keep(spread.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("loose")), "extra-counts")
+    rarest = Window.partitionBy("hub", "node").orderBy("n", "shingle")
+    nth = spread.join(counts, ["hub", "shingle"]).withColumn("nth", F.row_number().over(rarest))
+    return nth.filter("nth <= most AND n > 1 AND loose").select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "component")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Add each node's component; a node without a link is its own."""
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -309,14 +327,11 @@ def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
         if found.filter("star").isEmpty():
             return labels
         # Members of one hub's buckets meet again by the shingles that the hub lacks.
-        stars = _labelled(found.filter("star").select(F.col("a").alias("node"), F.col("b").alias("hub"), "extra"), labels)
+        stars = _labelled(found.filter("star").select(F.col("a").alias("node"), F.col("b").alias("hub"), "extra", "most"), labels)
         hub_labels = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
         stars = stars.join(hub_labels, "hub", "left").withColumn("left", F.col("component") != F.coalesce("hub_component", "hub"))
-        stars = keep(stars.select("hub", "node", "component", "left", "extra"), "stars")
-        loose = keep(stars.filter("left").select("hub", F.explode("extra").alias("shingle")).distinct(), "loose")
-        spread = stars.select("hub", "node", "component", F.explode("extra").alias("shingle"))
-        met = keep(spread.join(loose, ["hub", "shingle"]).select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "component"), "met")
-        again = keep(_one_of_equal(met), "again")
+        stars = keep(stars.select("hub", "node", "component", "left", "extra", "most"), "stars")
+        again = keep(_one_of_equal(keep(_meetings(stars), "met")), "again")
         if again.isEmpty():
             return labels
         seen = tested.distinct().withColumnsRenamed({"a": "ta", "b": "tb"})
