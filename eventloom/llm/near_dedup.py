@@ -335,11 +335,13 @@ def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
         if again.isEmpty():
             return labels
         seen = tested.distinct().withColumnsRenamed({"a": "ta", "b": "tb"})
+        # Pairs with a hub are all compared again, known or not: whoever stands with the hub may meet others later.
         new = _candidates(again, settings.small_rest)
-        new = new.join(seen, (F.least("a", "b") == F.least("ta", "tb")) & (F.greatest("a", "b") == F.greatest("ta", "tb")), "left_anti")
+        same = (F.least("a", "b") == F.least("ta", "tb")) & (F.greatest("a", "b") == F.greatest("ta", "tb"))
+        new = new.filter("star").union(new.filter("NOT star").join(seen, same, "left_anti"))
         own = _labelled(new.withColumnRenamed("a", "node"), labels).withColumnsRenamed({"node": "a", "component": "ca"})
         pairs = _labelled(own.withColumnRenamed("b", "node"), labels).withColumnsRenamed({"node": "b", "component": "cb"})
-        pairs = keep(pairs.filter("ca <> cb").select("a", "b", "star"), "candidates")
+        pairs = keep(pairs.filter("star OR ca <> cb").select("a", "b", "star"), "candidates")
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
