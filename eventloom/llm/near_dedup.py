@@ -9,14 +9,16 @@ agree in a coordinate with the weighted Jaccard similarity as probability.
 
 Candidates share a band of coordinates. Copies are one node of the graph, however
 many they are. In a small bucket all pairs are compared; in a large one every member
-is compared with the bucket's hub (the member whose buckets are largest), which
-links a dense group with as many pairs as members. What a hub leaves unlinked is
-not dropped: its members meet again in buckets by the shingles that they have and
-the hub lacks, and so on until no bucket holds two components. If U is not similar
-to a hub R and neither U nor A is smaller than R, then U and A can only be similar
-if they share such a shingle; smaller texts have their other bands besides. Of a
-text of n shingles only the rarest n - 0.8 n + 1 of those count: the rarest shingle
-that two similar texts share is among them in both.
+is compared with the bucket's hub (the member with the fewest shingles, then the
+smallest node), which links a dense group with as many pairs as members. What a hub
+leaves unlinked is not dropped: its members meet again in buckets by the shingles
+that they have and the hub lacks (with ``weighted``, have more often than the hub),
+and so on until no bucket holds two components. No member is smaller than its hub R,
+so if U is not similar to R, then U and another member A can only be similar if they
+share such a shingle: else U would share as much with R, which is no larger than A.
+Each later hub is larger than the one before, so the rounds end. Of a text of n
+shingles only the rarest n - 0.8 n + 1 of those count: the rarest shingle that two
+similar texts share is among them in both.
 Similarity is verified on whole shingle sets; links join nodes to components.
 
 Defined cases: texts equal byte by byte, empty and null ones included, share a class;
@@ -202,7 +204,7 @@ class Settings:
 
 
 def sign(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Per document: doc_id, key (of the text), bands (none for a text without words)."""
+    """Per document: doc_id, key (of the text), size of its set, bands (none for a text without words)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = DartMinHash(settings.bands * settings.rows)
@@ -211,11 +213,12 @@ def sign(docs: DataFrame, settings: Settings) -> DataFrame:
             weight = times.astype(float) if settings.weighted else np.ones(len(times))
             keys = band_keys(hasher.signatures(owner, element, weight, len(batch)), settings.rows)
             some = np.bincount(owner, minlength=len(batch)) > 0
+            size = np.bincount(owner, weights=weight, minlength=len(batch)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _lists(keys[some].ravel(), some * keys.shape[1], pa.int64())], names=["doc_id", "key", "bands"]
+                [batch.column(0), batch.column(1), pa.array(size), _lists(keys[some].ravel(), some * keys.shape[1], pa.int64())], names=["doc_id", "key", "size", "bands"]
             )
 
-    return _keyed(docs).select("doc_id", "key", "text").mapInArrow(rows, "doc_id long, key binary, bands array<long>")
+    return _keyed(docs).select("doc_id", "key", "text").mapInArrow(rows, "doc_id long, key binary, size long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -240,7 +243,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
 
 
 def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b, star) with ``linked`` and, for pairs with a hub b, the shingles that only a has and how many of them count."""
+    """Pairs (a, b, star) with ``linked``, a's size and, for pairs with a hub b, the shingles that b lacks and how many of them count."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if settings.weighted else []))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if settings.weighted else []))
     both = pairs.join(left, "a").join(right, "b")
@@ -250,23 +253,26 @@ def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
         total = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda x, y: x + y)
         common = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0).cast("long"), lambda x, e: x + F.least(F.element_at("ma", e), F.element_at("mb", e)))
         either = total("ta") + total("tb") - common
+        size, extra = total("ta"), F.filter("sa", lambda e: F.element_at("ma", e) > F.coalesce(F.try_element_at("mb", e), F.lit(0)))
     else:
         common = F.size(F.array_intersect("sa", "sb"))
         either = F.size("sa") + F.size("sb") - common
+        size, extra = F.size("sa").cast("long"), F.array_except("sa", "sb")
     n = F.size("sa")
     return both.select(
         "a",
         "b",
         "star",
         (common >= F.lit(settings.similarity) * either).alias("linked"),
-        F.when(F.col("star"), F.array_except("sa", "sb")).alias("extra"),
+        size.alias("size"),
+        F.when(F.col("star"), extra).alias("extra"),
         # Repeats may weigh more than their number, so a weighted text keeps all.
         (n if settings.weighted else n - F.floor(F.lit(settings.similarity) * n) + 1).alias("most"),
     )
 
 
 def _candidates(buckets: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b, star) of buckets (bucket, node): all of a small bucket, those with the hub of a large one.
+    """Pairs (a, b, star) of buckets (bucket, node, size): all of a small bucket, those with the hub of a large one.
 
     Both sides of every join are written tables, so Spark can split a large bucket.
     """
@@ -276,31 +282,28 @@ def _candidates(buckets: DataFrame, most: int) -> DataFrame:
     other = small.withColumnRenamed("node", "b")
     close = small.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b").select("a", "b", F.lit(False).alias("star"))
     large = live.filter(F.col("n") > most)
-    scores = keep(large.groupBy("node").agg(F.sum("n").alias("score")), "hub-scores")
-    scored = keep(large.join(scores, "node").select("bucket", "node", "score"), "scored")
-    # The hub: largest score, then smallest node, in one number pair that a partial maximum keeps.
-    top = keep(scored.groupBy("bucket").agg(F.max("score").alias("score")), "top-scores")
-    hubs = keep(scored.join(top, ["bucket", "score"]).groupBy("bucket").agg(F.min("node").alias("b")), "hubs")
-    stars = scored.select("bucket", F.col("node").alias("a")).join(hubs, "bucket").filter("a <> b").select("a", "b", F.lit(True).alias("star"))
+    # The hub: smallest size, then smallest node; a partial minimum keeps one row a task.
+    hubs = keep(large.groupBy("bucket").agg(F.min(F.struct("size", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b")), "hubs")
+    stars = large.select("bucket", F.col("node").alias("a")).join(hubs, "bucket").filter("a <> b").select("a", "b", F.lit(True).alias("star"))
     return close.unionByName(stars).distinct()
 
 
 def _one_of_equal(rows: DataFrame) -> DataFrame:
-    """Of buckets (bucket, node, component) that hold the same nodes one; none that holds a single component."""
+    """Of buckets (bucket, node, size, component) that hold the same nodes one; none that holds a single component."""
     members = rows.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
     )
     chosen = members.filter("low <> high").groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))
-    return rows.join(keep(chosen.select("bucket"), "mixed"), "bucket").select("bucket", "node")
+    return rows.join(keep(chosen.select("bucket"), "mixed"), "bucket").select("bucket", "node", "size")
 
 
 def _meetings(stars: DataFrame) -> DataFrame:
-    """(bucket, node, component): stars of one hub that share one of their rarest shingles, with one that is left among them."""
-    spread = stars.select("hub", "node", "component", "left", "most", F.explode("extra").alias("shingle"))
+    """(bucket, node, size, component): stars of one hub that share one of their rarest shingles, with one that is left among them."""
+    spread = stars.select("hub", "node", "size", "component", "left", "most", F.explode("extra").alias("shingle"))
     counts = keep(spread.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("loose")), "extra-counts")
     rarest = Window.partitionBy("hub", "node").orderBy("n", "shingle")
     nth = spread.join(counts, ["hub", "shingle"]).withColumn("nth", F.row_number().over(rarest))
-    return nth.filter("nth <= most AND n > 1 AND loose").select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "component")
+    return nth.filter("nth <= most AND n > 1 AND loose").select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "size", "component")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,7 +313,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     """(node, component) of all nodes that have a link."""
-    buckets = nodes.select("node", F.explode("bands").alias("bucket")).select("bucket", "node")
+    buckets = nodes.select("node", "size", F.explode("bands").alias("bucket")).select("bucket", "node", "size")
     pairs = keep(_candidates(buckets, settings.small_bucket), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = members.join(nodes.select("node", "first_id", F.col("key").alias("wanted_key")), "node")
@@ -327,10 +330,10 @@ def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
         if found.filter("star").isEmpty():
             return labels
         # Members of one hub's buckets meet again by the shingles that the hub lacks.
-        stars = _labelled(found.filter("star").select(F.col("a").alias("node"), F.col("b").alias("hub"), "extra", "most"), labels)
+        stars = _labelled(found.filter("star").select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "extra", "most"), labels)
         hub_labels = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
         stars = stars.join(hub_labels, "hub", "left").withColumn("left", F.col("component") != F.coalesce("hub_component", "hub"))
-        stars = keep(stars.select("hub", "node", "component", "left", "extra", "most"), "stars")
+        stars = keep(stars.select("hub", "node", "size", "component", "left", "extra", "most"), "stars")
         again = keep(_one_of_equal(keep(_meetings(stars), "met")), "again")
         if again.isEmpty():
             return labels
@@ -347,7 +350,7 @@ def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per document: doc_id, class_id, class_size, kept, key."""
     signed = keep(sign(docs, settings), "signed")
-    grouped = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    grouped = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = keep(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labelled = keep(_labelled(nodes.select("node", "key", "first_id", "n"), link(docs, nodes, settings)), "labelled")
     whole = keep(labelled.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")

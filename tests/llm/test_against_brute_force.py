@@ -104,6 +104,25 @@ def test_near_classes_in_large_buckets(spark):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame, settings).collect()} == _classes(rows)
 
 
+def test_near_classes_of_texts_smaller_than_others(spark):
+    """Truncations of one long text, in buckets of any size: whoever is the hub, no link is lost."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(3):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        lengths = [200, *range(199, 189, -1), *range(152, 142, -1), *range(116, 108, -1), *range(80, 74, -1)]
+        rows += [(len(rows) + i, " ".join(text[:n])) for i, n in enumerate(lengths)]
+    wanted = _classes(rows)
+    assert len(set(wanted.values())) > 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = near_dedup.Settings(bands=1, rows=1, small_bucket=2, small_rest=2)
+    # One band alone, in which all truncations meet: other bands cannot make up for a hub.
+    signed = near_dedup.sign(frame, settings).drop("bands").withColumn("bands", F.array(F.floor(F.col("doc_id") / 35)))
+    grouped = signed.withColumnsRenamed({"doc_id": "first_id"}).withColumns({"node": F.col("first_id"), "n": F.lit(1)})
+    found = {r["node"]: r["component"] for r in near_dedup.link(frame, grouped, settings).collect()}
+    assert {i: found.get(i, i) for i in wanted} == wanted
+
+
 def test_weighted_signatures_estimate_similarity():
     element = np.array([near_dedup.mixed(np.array([i], np.uint64))[0] for i in range(300)])
     weight = np.random.default_rng(0).integers(1, 5, (2, 300)).astype(float)
