@@ -227,19 +227,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(node, shingles, times) of the wanted nodes (node, first_id, wanted_key), from one of their documents."""
+    """(node, shingles, times) of the wanted nodes (node, first_id, wanted_key, repeated), from one of their documents.
+
+    Of a node whose rows may repeat (``repeated``) each task makes one set, and one of those stays.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            owner, element, times = shingles(batch.column(1).to_pylist())
-            counts = np.bincount(owner, minlength=len(batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _lists(element.view(np.int64), counts, pa.int64()), _lists(times, counts, pa.int64())], names=["node", "shingles", "times"]
-            )
+        made: set[int] = set()
+        for batch in batches:
+            first = []
+            for i, (node, repeated) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if not repeated or node not in made:
+                    first.append(i)
+                if repeated:
+                    made.add(node)
+            for part in slices([batch.take(pa.array(first, pa.int64()))], 1):
+                owner, element, times = shingles(part.column(1).to_pylist())
+                counts = np.bincount(owner, minlength=len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _lists(element.view(np.int64), counts, pa.int64()), _lists(times, counts, pa.int64()), part.column(2)],
+                    names=["node", "shingles", "times", "repeated"],
+                )
 
     own = _keyed(docs)
     same = own["doc_id"].eqNullSafe(wanted["first_id"]) & (own["key"] == wanted["wanted_key"])
-    return own.join(wanted, same).select("node", "text").mapInArrow(rows, "node long, shingles array<long>, times array<long>")
+    made = own.join(wanted, same).select("node", "text", "repeated").mapInArrow(rows, "node long, shingles array<long>, times array<long>, repeated boolean")
+    made = keep(made, "made-sets")
+    once = keep(made.filter("repeated").dropDuplicates(["node"]), "sets-of-repeated")
+    return made.filter("NOT repeated").union(once).drop("repeated")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -316,8 +331,8 @@ def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     buckets = nodes.select("node", "size", F.explode("bands").alias("bucket")).select("bucket", "node", "size")
     pairs = keep(_candidates(buckets, settings.small_bucket), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = members.join(nodes.select("node", "first_id", F.col("key").alias("wanted_key")), "node")
-    sets = keep(shingle_sets(docs, wanted, settings), "shingle-sets")
+    wanted = members.join(nodes.select("node", "first_id", F.col("key").alias("wanted_key"), (F.col("n") > 1).alias("repeated")), "node")
+    sets = shingle_sets(docs, wanted, settings)
     tested = labels = None
     while True:
         found = keep(compare(pairs, sets, settings), "compared")

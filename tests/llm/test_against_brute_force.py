@@ -123,6 +123,16 @@ def test_near_classes_of_texts_smaller_than_others(spark):
     assert {i: found.get(i, i) for i in wanted} == wanted
 
 
+def test_one_shingle_set_for_repeated_rows(spark):
+    """Rows that repeat id and text, null ids too, in many tasks: one set a node."""
+    rows = [(i, t) for i, t in ((1, "a b c d e f g"), (None, "h i j k l m n"), (2, "o p q r s t u")) for _ in range(40)] + [(3, "v w x y z a b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    signed = near_dedup.sign(frame, near_dedup.Settings()).groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = signed.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("first_id"), F.col("key").alias("wanted_key"), (F.col("n") > 1).alias("repeated"))
+    sets = near_dedup.shingle_sets(frame, F.broadcast(near_dedup.keep(nodes, "nodes")), near_dedup.Settings()).collect()
+    assert len(sets) == len({r["node"] for r in sets}) == 4 and all(len(r["shingles"]) == 3 for r in sets)
+
+
 def test_weighted_signatures_estimate_similarity():
     element = np.array([near_dedup.mixed(np.array([i], np.uint64))[0] for i in range(300)])
     weight = np.random.default_rng(0).integers(1, 5, (2, 300)).astype(float)
