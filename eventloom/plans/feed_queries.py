@@ -450,3 +450,44 @@ def feed_saved_sections(spark, sf_dir):
     own = timed(spark, sf_dir)
     saved = feed.only_ids(own, own.filter("id % 4 = 0")).withColumn("section", F.when(tw.is_past(now_column()), "past").otherwise("upcoming"))
     return saved.select("id", "section", F.row_number().over(Window.partitionBy("section").orderBy("eff_start", "pos")).alias("place"))
+
+
+def _whole(name: str, *cuts: str) -> str:
+    """The SQL of a query on a subset of the feed, over the whole feed."""
+    sql = ORACLE_SQL[name]
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    return sql
+
+
+@query("feed_diversify_whole", _whole("feed_diversify", " WHERE id % 40 = 1"))
+def feed_diversify_whole(spark, sf_dir):
+    """W2 over the whole feed."""
+    return feed.diversify(feed_events(spark, sf_dir), target=120).select("id")
+
+
+@query("feed_balance_sources_whole", _whole("feed_balance_sources", " WHERE id % 3 = 0", " AND id < 3000"))
+def feed_balance_sources_whole(spark, sf_dir):
+    """W3 over the whole feed."""
+    pool = timed(spark, sf_dir)
+    return feed.balance(pool.filter("source IN ('ticketmaster', 'meetup')"), pool, "source").select("id", "pos")
+
+
+@query("feed_balance_categories_whole", _whole("feed_balance_categories", " WHERE id % 3 = 0", " AND id < 3000"))
+def feed_balance_categories_whole(spark, sf_dir):
+    """W4 over the whole feed."""
+    pool = timed(spark, sf_dir)
+    return feed.balance(pool.filter("category IN ('nightlife', 'outdoors')"), pool, "category", 3).select("id", "pos")
+
+
+@query("feed_widen_whole", _whole("feed_widen", " WHERE id % 50 = 1"))
+def feed_widen_whole(spark, sf_dir):
+    """L6, W6 over the whole feed."""
+    near = feed_events(spark, sf_dir).withColumn("distance", geo.haversine_miles(F.lit(ORIGIN[0] + 0.2), F.lit(ORIGIN[1]), F.col("lat"), F.col("lng")))
+    return feed.widen(near, 5.0).select("id", "tier")
+
+
+@query("feed_rows_whole", _whole("feed_rows", " WHERE id % 10 = 0"))
+def feed_rows_whole(spark, sf_dir):
+    """G8 over the whole feed."""
+    return feed.discovery_rows(with_distance(timed(spark, sf_dir)), now_column(), GOALS, hidden=["goal-live-music"])

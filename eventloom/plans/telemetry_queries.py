@@ -234,3 +234,16 @@ def stream_sessions(spark, sf_dir):
         F.lit("s").alias("text"), F.lit("m").alias("message"),
     )
     return state.refresh_states(actions)
+
+
+@query("telemetry_category_hint_whole")
+def telemetry_category_hint_whole(spark, sf_dir):
+    """A7 over the whole feed; no category is the empty text, for which the SQL has null."""
+    found = telemetry.category_hint(feed_events(spark, sf_dir))
+    return found.select(F.array_join("well_covered", ",").alias("well_covered"), F.array_join("under_represented", ",").alias("under_represented"))
+
+
+@query("telemetry_dominant_whole", ORACLE_SQL["telemetry_dominant"].replace(" WHERE id % 7 < 3", ""))
+def telemetry_dominant_whole(spark, sf_dir):
+    """A8 over the whole feed."""
+    return telemetry.dominant(feed_events(spark, sf_dir), "source")

@@ -25,3 +25,42 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark):
     plan = catalog.QUERIES["feed_event_by_id"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_id, [7,42,100])]" in plan
+
+
+#: What the queries on a subset of the feed leave out, and no query on the whole feed may.
+CUTS = [" WHERE id % 40 = 1", " WHERE id % 3 = 0", " AND id < 3000", " WHERE id % 50 = 1", " WHERE id % 10 = 0", " WHERE id % 7 < 3"]
+WHOLE = ["feed_diversify", "feed_balance_sources", "feed_balance_categories", "feed_widen", "feed_rows", "telemetry_dominant"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_feed(spark, name):
+    sql = catalog.ORACLE_SQL[f"{name}_whole"]
+    assert sql != catalog.ORACLE_SQL[name] and not any(cut in sql for cut in CUTS)
+    same_rows(catalog.QUERIES[f"{name}_whole"](spark, SF), duck(), sql)
+
+
+def test_whole_category_hint(spark):
+    sql = catalog.ORACLE_SQL["telemetry_category_hint"].replace(" WHERE id % 3 = 0", "")
+    sql = f"SELECT coalesce(well_covered, '') AS well_covered, coalesce(under_represented, '') AS under_represented FROM ({sql})"
+    same_rows(catalog.QUERIES["telemetry_category_hint_whole"](spark, SF), duck(), sql)
+
+
+def test_whole_spatial_join(spark):
+    from math import asin, cos, radians, sin
+
+    from eventloom.functions import geo
+    from eventloom.plans.views import feed_events
+
+    def miles(a, b):
+        h = sin(radians(a[1] - b[1]) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin(radians(a[2] - b[2]) / 2) ** 2
+        return 2 * geo.RADIUS_MILES * asin(min(1, h**0.5))
+
+    own = feed_events(spark, SF)
+    points, places = ([tuple(r) for r in df.select("id", "lat", "lng").collect()] for df in (own, own.filter("source = 'university'")))
+    found = {(r["id"], r["place_id"]): r["miles"] for r in catalog.QUERIES["geo_spatial_join_whole"](spark, SF).collect()}
+    wanted = {(a[0], b[0]): miles(a, b) for a in points for b in places if None not in (*a, *b) and miles(a, b) <= 2}
+    assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 1e-5 for k in wanted)
+
+
+def test_feed_pipeline_shows_the_whole_feed(spark):
+    assert {r["id"] % 4 for r in catalog.QUERIES["feed_pipeline"](spark, SF).collect()} == {0, 1, 2, 3}
