@@ -81,14 +81,14 @@ def words_of(text: Column) -> Column:
 
 
 def template_idf(docs: DataFrame, templates: list[Template]) -> dict[str, float]:
-    """IDF of every template word over all documents; as many rows as the templates have words."""
+    """IDF, at least 1, of every template word over all documents; as many rows as the templates have words."""
     vocabulary = sorted({w for t in templates for w in t.words})
     present = docs.select(F.array_intersect(words_of(text_of()), F.array(*map(F.lit, vocabulary))).alias("present"))
     # Each document adds 1 per word it has; a null element counts all documents.
     counted = present.select(F.explode(F.concat("present", F.array(F.lit(None).cast("string")))).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counted.collect()}
     n = df.pop(None, 0)
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
 
 
 def _starts(template: Template, idf: dict[str, float], hits: Column, words: Column, rare_words: int) -> Column:

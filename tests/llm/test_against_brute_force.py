@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, queries, token_count, url_filter
+from eventloom.llm import exact_dedup, language_id, licenses, mixing, near_dedup, packing, quality_classifier, quality_rules, queries, token_count, url_filter
 from tests.conftest import SF, duck, same_rows
 
 LARGER = "/root/testdata/sf0.01"
@@ -253,6 +253,13 @@ def test_license_places(spark):
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_license_in_every_row(spark):
+    """A notice that all documents hold has its label and score as in any other table."""
+    for n in (1, 3):
+        rows = licenses.scan(spark.createDataFrame([(i, "Released under the MIT License.") for i in range(n)], "doc_id long, text string")).collect()
+        assert [(r["base_labels"], r["labels"], r["score"]) for r in rows] == [("mit", "mit,mit-notice", 1.0)] * n
+
+
 # 8 ---------------------------------------------------------------------------
 
 
