@@ -7,29 +7,53 @@ executor costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where a session names no checkpoint folder (tests on one machine).
-LOCAL_CHECKPOINT_DIR = "/tmp/eventloom-checkpoints"
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from the session's settings."""
+    """The folder shared by driver and executors, from the session's settings.
+
+    A session on one machine (tests) that names none gets a temporary one; on a
+    cluster, whose machines do not share such a folder, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = LOCAL_CHECKPOINT_DIR
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+#: Per open `passing` block, the paths of the tables kept in it.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables kept within this block are deleted at its end, those kept as lasting excepted."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _passing and not lasting:
+        _passing[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
