@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventloom.sources.tables import keep, shared_dir
+from eventloom.sources.tables import keep, passing, shared_dir
 
-__all__ = ["BLANKS", "WORDS", "is_held_out", "keep", "lower_ascii", "shared_dir", "text_of", "word_count"]
+__all__ = ["BLANKS", "WORDS", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
 
 #: White space and words of the digest contracts: ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"

@@ -14,7 +14,7 @@ length is a sum of table entries; other grams are scored as they come. Texts are
 read in slices of bounded size, whole.
 
 The counts come from at most about ``sample_docs`` documents per language, chosen
-by a hash of their id; this bounds the model that is sent to the tasks.
+by a hash of their id and text; this bounds the model that is sent to the tasks.
 
 Defined cases: null text, or one without a letter, gives ``und`` and score 0; ties
 go to the smallest language; without any training row everything is ``und``;
@@ -24,7 +24,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +39,14 @@ UNKNOWN = "und"
 #: Stands for the bytes before a text.
 PAD = b"\n"
 SLICE_BYTES = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter by its Unicode category; number characters such as a half are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def grams(data: bytes, order: int) -> np.ndarray:
     """The (order + 1)-gram that ends at each byte from ``order`` on, as integers."""
     own = np.frombuffer(data, np.uint8).astype(np.uint64)
@@ -193,8 +196,9 @@ def train(docs: DataFrame, order: int = 4, sample_docs: int = 400) -> Scorer:
     if not there:
         return Scorer([], [], order)
     chance = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, float(sample_docs) / n)])[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = training_counts(learnable.filter(drawn < chance), order).toPandas()
+    # By id and text, and each pair once: rows with a null id or repeated rows neither crowd the sample nor pass its bound.
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    found = training_counts(learnable.filter(drawn < chance).distinct(), order).toPandas()
     languages = sorted(found["lang"].unique())
     models = []
     for lang in languages:
@@ -218,7 +222,7 @@ def identify(docs: DataFrame, scorer: Scorer, rows_at_once: int = 256) -> DataFr
         own = shared.value
         for whole in batches:
             for batch in (whole.slice(i, rows_at_once) for i in range(0, len(whole), rows_at_once)):
-                texts = [t if t and LETTER.search(t) else "" for t in batch.column(1).to_pylist()]
+                texts = [t if has_letter(t) else "" for t in batch.column(1).to_pylist()]
                 data = [t.encode() for t in texts]
                 if own.languages:
                     lengths = own.code_lengths(data)
@@ -246,7 +250,7 @@ def accept_column(spark: SparkSession, scorer: Scorer, least_score: float):
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
         own = shared.value
-        data = [t.encode() if t and LETTER.search(t) else b"" for t in texts]
+        data = [t.encode() if has_letter(t) else b"" for t in texts]
         if not own.languages:
             return pd.Series([False] * len(data))
         score = np.concatenate([choose(own.code_lengths(data[i : i + 256]))[1] for i in range(0, len(data), 256)]) if data else np.zeros(0)
