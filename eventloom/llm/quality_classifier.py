@@ -212,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> LineFi
                 names=["quality", "features", "words"],
             )
 
-    texts = docs.join(F.broadcast(sample), "doc_id").select("quality", F.col("text").cast("string").alias("text"))
+    # Only id and text of the documents: a column of theirs may be called quality.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("quality", "text")
     found = texts.mapInArrow(rows, "quality int, features array<double>, words array<double>").toPandas()
     # In a fixed order, so that the same rows give the same sums.
     chains = sorted(((np.array(f).reshape(-1, FEATURES), np.array(n), q) for q, f, n in found.itertuples(index=False)), key=lambda d: (d[2], len(d[1]), d[0].tobytes()))
