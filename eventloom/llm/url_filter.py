@@ -2,14 +2,15 @@
 
 Every rule is a glob over the canonical url "." + host + path. ``*`` stands for any
 run without a slash, ``**`` for any run, every other character for itself. All
-globs are packed into the bits of a few 64-bit words (Shift-And): one shift and
-two masks per character advance every rule, and numpy does this for all urls of a
-batch together. A host rule ``example.com/de/`` is the glob ``**.example.com/de/**``
+globs are packed one after another into the bits of as many 64-bit words as they need
+(Shift-And): one shift, whose carry goes on to the next word, and two masks per
+character advance every rule, and numpy does this for many urls together. A host rule ``example.com/de/`` is the glob ``**.example.com/de/**``
 anchored at the host: it fits the host and all subdomains.
 
 Defined cases: null url or one without ``://`` has empty host and path, fits no
 rule and is allowed; an empty table gives an empty result; repeated rows repeat;
-extra columns are ignored; very long urls take steps in proportion to their length.
+extra columns are ignored; very long urls take steps in proportion to their length, and
+urls are taken together only up to a bound of their characters.
 """
 
 from __future__ import annotations
@@ -69,53 +70,55 @@ class Automaton:
     other: np.ndarray  # the same for a character that no rule has
     any_run: np.ndarray  # positions after ``**``
     name_run: np.ndarray  # positions after ``*``
-    skip: int  # most wildcards in a row
     accept: list[tuple[int, np.uint64]]  # word and bit of each rule's end
-    block_ends: np.ndarray
 
     @staticmethod
     def of(globs: Sequence[str]) -> Automaton:
-        """Pack the globs; a rule never crosses a word, so shifts need no carry."""
+        """Pack the globs bit by bit; a rule may begin in one word and end in another."""
         parsed = [parse(g) for g in globs]
-        places, word, used = [], 0, 0
+        words = -(-sum(len(items) + 1 for items in parsed) // WORD) or 1
+        zero = lambda: np.zeros(words, np.uint64)
+        enter = {c: zero() for c in sorted({x for items in parsed for x in items if len(x) == 1 and x != "*"})}
+        start, any_run, name_run, accept, used = zero(), zero(), zero(), [], 0
+        bit = lambda at: (at // WORD, np.uint64(1 << at % WORD))
         for items in parsed:
-            if len(items) + 1 > WORD:
-                raise ValueError("a rule has at most 63 items")
-            if used + len(items) + 1 > WORD:
-                word, used = word + 1, 0
-            places.append((word, used))
+            for at, item in enumerate([None, *items], used):
+                mask = start if item is None else any_run if item == "**" else name_run if item == "*" else enter[item]
+                word, own = bit(at)
+                mask[word] |= own
             used += len(items) + 1
-        zero = lambda: np.zeros(word + 1, np.uint64)
-        letters = sorted({x for items in parsed for x in items if len(x) == 1 and x != "*"})
-        start, any_run, name_run, ends, accept = zero(), zero(), zero(), zero(), []
-        enter = {c: zero() for c in letters}
-        for items, (w, b) in zip(parsed, places, strict=True):
-            bit = lambda i: np.uint64(1 << (b + i))  # noqa: B023, E731
-            start[w] |= bit(0)
-            for i, item in enumerate(items, 1):
-                if item == "**":
-                    any_run[w] |= bit(i)
-                elif item == "*":
-                    name_run[w] |= bit(i)
-                else:
-                    enter[item][w] |= bit(i)
-            accept.append((w, bit(len(items))))
-            ends[w] |= bit(len(items))
-        return Automaton(start, enter, zero(), any_run, name_run, max((len(items) for items in parsed), default=0), accept, ends)
+            accept.append(bit(used - 1))
+        return Automaton(start, enter, zero(), any_run, name_run, accept)
+
+    def shifted(self, state: np.ndarray) -> np.ndarray:
+        """Every bit one place on, from word to word. A rule's last bit moves to the next rule's start, which no mask lets in."""
+        out = state << np.uint64(1)
+        out[:, 1:] |= state[:, :-1] >> np.uint64(WORD - 1)
+        return out
 
     def closed(self, state: np.ndarray) -> np.ndarray:
         """Wildcards also match nothing: enter them without a character."""
         runs = self.any_run | self.name_run
         while True:
-            more = state | ((state << np.uint64(1)) & runs)
+            more = state | (self.shifted(state) & runs)
             if (more == state).all():
                 return state
             state = more
 
-    def matches(self, texts: Sequence[str]) -> np.ndarray:
-        """Boolean matrix: text x rule."""
+    def matches(self, texts: Sequence[str], most_chars: int = 1 << 22) -> np.ndarray:
+        """Boolean matrix: text x rule. Texts of like length go together, about ``most_chars`` characters at a time."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        lengths = np.array([len(texts[i]) for i in order], np.int64)
+        found = np.zeros((len(texts), len(self.accept)), bool)
+        at = 0
+        while at < len(order):
+            own = order[at : at + max(1, most_chars // max(1, len(texts[order[at]])))]
+            found[own] = self._matches([texts[i] for i in own])
+            at += len(own)
+        return found
+
+    def _matches(self, texts: list[str]) -> np.ndarray:
+        """The same for texts ordered by length, longest first, laid out as one table."""
+        lengths = np.array([len(t) for t in texts], np.int64)
         state = np.repeat(self.closed(self.start[None, :]), len(texts), axis=0)
         codes = {c: k for k, c in enumerate(self.shift_in, 1)}
         enter = np.stack([self.other, *self.shift_in.values()])
@@ -124,17 +127,14 @@ class Automaton:
         if "/" not in codes:
             codes["/"] = len(enter)
             enter, stay = np.vstack([enter, self.other]), np.vstack([stay, self.any_run])
-        table = np.zeros((len(texts), int(lengths[0]) if len(texts) else 0), np.int16)
-        for row, i in enumerate(order):
-            table[row, : len(texts[i])] = [codes.get(c, 0) for c in texts[i]]
+        table = np.zeros((len(texts), int(lengths[0])), np.int16)
+        for row, text in enumerate(texts):
+            table[row, : len(text)] = [codes.get(c, 0) for c in text]
         for at in range(table.shape[1]):
             n = int(np.searchsorted(-lengths, -at, side="left"))  # texts longer than `at`
             own, code = state[:n], table[:n, at]
-            state[:n] = self.closed(((own << np.uint64(1)) & enter[code]) | (own & stay[code]))
-        found = np.zeros((len(texts), len(self.accept)), bool)
-        for rule, (w, bit) in enumerate(self.accept):
-            found[order, rule] = (state[:, w] & bit) != 0
-        return found
+            state[:n] = self.closed((self.shifted(own) & enter[code]) | (own & stay[code]))
+        return np.stack([(state[:, word] & bit) != 0 for word, bit in self.accept], axis=1) if self.accept else np.zeros((len(texts), 0), bool)
 
 
 def split_url(url):
