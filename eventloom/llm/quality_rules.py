@@ -34,6 +34,7 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "›", "•", "·", ">>", "::")
 SYMBOL_ENDS = ("!!", "##", "**", "$$", "%%", "&&", "<<", ">>", "==", "~~", "^^", "++", "__")
 BOILERPLATE = (
+    # English
     "accept cookies",
     "all rights reserved",
     "back to top",
@@ -55,6 +56,40 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "we use cookies",
+    # German
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "hier klicken",
+    "jetzt abonnieren",
+    "mehr lesen",
+    "nach oben",
+    "nutzungsbedingungen",
+    "passwort vergessen",
+    "wir verwenden cookies",
+    "zum inhalt springen",
+    # French
+    "accepter les cookies",
+    "aller au contenu",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "haut de page",
+    "lire la suite",
+    "mot de passe oublié",
+    "nous utilisons des cookies",
+    "politique de confidentialité",
+    "tous droits réservés",
+    # Spanish
+    "aceptar cookies",
+    "haga clic aquí",
+    "ir al contenido",
+    "leer más",
+    "olvidó su contraseña",
+    "política de privacidad",
+    "términos de uso",
+    "todos los derechos reservados",
+    "utilizamos cookies",
+    "volver arriba",
 )
 SENTENCE_ENDS = (".", "?", "!", ":", ";", '"', "…")
 

@@ -8,6 +8,10 @@ to right and only a strictly better score replaces another. A character that is
 no piece scores the smallest score less 10 and counts as its UTF-8 bytes (byte
 fallback). Scores are doubles.
 
+The counts are a tokenizer's own only where the file is a unigram vocabulary. No
+public file is; for a BPE file, whose scores are merge ranks, ``n_tokens`` is the
+length of the best-score segmentation under those ranks and not what BPE encodes to.
+
 White space is written as U+2581 before the pieces are looked up. Where no piece
 has that mark after another character, the best segmentation falls apart at every
 mark that follows another character; so it does between any two characters that
