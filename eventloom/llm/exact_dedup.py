@@ -3,7 +3,7 @@
 The index is a table bucketed and sorted by digest. A batch of documents is
 reduced to one row per digest before anything is shuffled by digest, the known
 digests are removed with a sort-merge anti-join that reads the index without
-shuffling it, and what is left is appended.
+shuffling it, what is left is appended, and every row's answer is read from the index.
 
 Texts are equal when identical after each run of ASCII blanks is replaced by one
 space. Defined cases:
@@ -64,22 +64,35 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text_of()).alias("digest"))
+
+
+def _learn(groups: DataFrame, index: DigestIndex) -> DataFrame:
+    """Append to the index the digests of (digest, first_id) that it lacks, and return these."""
+    fresh = groups.select("digest", F.col("first_id").alias("keep_id")).join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
+    # Written before the append, which changes what the index holds.
+    fresh = keep(fresh, "fresh")
+    index.append(fresh)
+    return fresh
+
+
 def resolve(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Add the batch's unseen digests to the index; one row per document of the batch.
 
     Returns doc_id, keep_id (of the row that stays, which may be from an earlier
     batch), group_size (equal rows in this batch), kept, digest.
     """
-    digests = keep(docs.select("doc_id", digest_of(text_of()).alias("digest")), "digests")
-    groups = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-    known = index.rows()
-    fresh = groups.join(known.hint("merge"), "digest", "left_anti").withColumnRenamed("first_id", "keep_id")
-    seen = groups.join(known.hint("merge"), "digest", "inner").select("digest", "keep_id", "group_size", F.lit(False).alias("fresh"))
-    # Written before the append, which changes what the index holds.
-    verdicts = keep(fresh.select("digest", "keep_id", "group_size", F.lit(True).alias("fresh")).unionByName(seen), "digest-groups")
-    index.append(verdicts.filter("fresh"))
+    digests = keep(_digests(docs), "digests")
+    groups = keep(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
+    fresh = _learn(groups, index).select("digest", F.lit(True).alias("fresh"))
+    known = groups.join(index.rows().hint("merge"), "digest").join(fresh, "digest", "left")
+    return _answers(digests, known.select("digest", "keep_id", "group_size", F.coalesce("fresh", F.lit(False)).alias("fresh")))
+
+
+def _answers(digests: DataFrame, verdicts: DataFrame) -> DataFrame:
     # A plain join of two tables: a digest with very many copies is split at run time.
-    return digests.join(verdicts, "digest").select(
+    return digests.join(keep(verdicts, "verdicts"), "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -88,12 +101,38 @@ def resolve(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+def resolve_table(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
+    """The rows of a whole table as :func:`resolve` gives them, fed to a new index in batches of ascending doc_id.
+
+    Every batch is anti-joined with what the earlier ones left in the index, so the
+    smallest id of each digest is the one that it keeps; null ids come last. The
+    answers are read from the filled index.
+    """
+    digests = keep(_digests(docs), "digests")
+    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+    bounds = [] if low is None else [low + (high - low + 1) * k // batches for k in range(1, batches)]
+    batch = F.when(F.col("doc_id").isNull(), F.lit(batches - 1))
+    for k, bound in enumerate(bounds):
+        batch = batch.when(F.col("doc_id") < bound, F.lit(k))
+    grouped = digests.groupBy("digest", batch.otherwise(F.lit(batches - 1)).alias("batch"))
+    groups = keep(grouped.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "digest-groups")
+    for k in range(batches):
+        _learn(groups.filter(F.col("batch") == k), index)
+    sizes = groups.groupBy("digest").agg(F.sum("n").alias("group_size"))
+    known = sizes.join(index.rows().hint("merge"), "digest")
+    return _answers(digests, known.select("digest", "keep_id", "group_size", F.lit(True).alias("fresh")))
+
+
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """Names a row by its id and text: one column, so that what is joined by it is also grouped by it."""
+    return F.unhex(F.md5(F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))))
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents, all their columns, that no earlier or equal document replaces."""
-    kept = resolve(docs, index).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("digest").alias("__keep_digest")).distinct()
-    tagged = docs.withColumn("__digest", digest_of(text_of()))
-    same = tagged["doc_id"].eqNullSafe(kept["__keep_id"]) & (tagged["__digest"] == kept["__keep_digest"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    kept = resolve(docs, index).filter("kept").select(_row_key(F.col("doc_id"), F.col("digest")).alias("__row"))
+    tagged = docs.withColumn("__row", _row_key(F.col("doc_id").cast("long"), digest_of(text_of())))
+    return tagged.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
