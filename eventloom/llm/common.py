@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.sources.tables import keep, passing, shared_dir
 
-__all__ = ["BLANKS", "WORDS", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
+__all__ = ["BLANKS", "WORDS", "arrow_rows", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
 
 #: White space and words of the digest contracts: ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -16,6 +19,18 @@ WORDS = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs within this block gives Python at most so many rows at a time: rows of long texts or sets need memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -38,7 +38,7 @@ from eventloom.llm.common import is_held_out
 UNKNOWN = "und"
 #: Stands for the bytes before a text.
 PAD = b"\n"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -128,7 +128,7 @@ class Scorer:
             free = self.slots[at] == 0
             self.slots[at[free][::-1]] = rest[free][::-1]
             rest = rest[self.slots[at] != rest]
-        self.costs = np.column_stack([m.bits(self.known) for m in models]) if models else np.zeros((1, 0))
+        self.costs = np.column_stack([m.bits(self.known) for m in models]).astype(np.float32) if models else np.zeros((1, 0), np.float32)
 
     def _slot(self, wanted: np.ndarray, mix: np.uint64) -> np.ndarray:
         return ((wanted * mix) >> np.uint64(64 - self.log_slots)).astype(np.int64)
@@ -139,7 +139,7 @@ class Scorer:
         for mix in _MIX[1:]:
             miss = np.flatnonzero((self.known[row] != wanted) | (row == 0))
             row[miss] = self.slots[self._slot(wanted[miss], mix)]
-        out = self.costs[row]
+        out = self.costs[row].astype(np.float64)
         miss = np.flatnonzero((self.known[row] != wanted) | (row == 0))
         if len(miss):
             new, at = np.unique(wanted[miss], return_inverse=True)
