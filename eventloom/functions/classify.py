@@ -70,7 +70,7 @@ def ascii_bounds(pattern: str) -> str:
 
 def has_keyword(text: Column, kind: str) -> Column:
     """Whether a lower-cased text has a keyword between word boundaries."""
-    return text.rlike("|".join(word(re.escape(k)) for k in KEYWORDS[kind]))
+    return text.rlike(word("|".join(map(re.escape, KEYWORDS[kind]))))
 
 
 def any_language(text: Column) -> Column:
@@ -82,7 +82,8 @@ def first_brand(text: Column) -> Column:
     found = F.lit(None).cast("string")
     for name in reversed(ADULT_NAMES):
         found = F.when(text.rlike("(?i)" + word(re.escape(name))), F.lit(name)).otherwise(found)
-    return found
+    # Few texts have one: a single pattern for all of them comes first.
+    return F.when(text.rlike("(?i)" + word("|".join(map(re.escape, ADULT_NAMES)))), found)
 
 
 def is_adult_venue(name: Column, types: Column | None = None) -> Column:

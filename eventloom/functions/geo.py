@@ -21,31 +21,52 @@ def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> C
 
 
 def spheroid_miles(df: DataFrame, lat1: Column, lng1: Column, lat2: Column, lng2: Column, name: str, rounds: int = 8) -> DataFrame:
-    """Add the geodesic distance on WGS 84 (Vincenty's inverse formula, a fixed number of rounds)."""
-    f, own = FLATTENING, "__g_"
-    u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
-    df = df.withColumns({f"{own}u1": u1, f"{own}u2": u2, f"{own}d": F.radians(lng2 - lng1)}).withColumn(f"{own}l", F.col(f"{own}d"))
-    c = lambda n: F.col(own + n)
-    for _ in range(rounds):
-        sin_s = F.sqrt(
-            F.pow(F.cos(c("u2")) * F.sin(c("l")), 2) + F.pow(F.cos(c("u1")) * F.sin(c("u2")) - F.sin(c("u1")) * F.cos(c("u2")) * F.cos(c("l")), 2)
-        )
-        cos_s = F.sin(c("u1")) * F.sin(c("u2")) + F.cos(c("u1")) * F.cos(c("u2")) * F.cos(c("l"))
-        df = df.withColumns({f"{own}ss": sin_s, f"{own}cs": cos_s})
-        df = df.withColumn(f"{own}s", F.atan2(c("ss"), c("cs")))
-        df = df.withColumn(f"{own}a", F.when(c("ss") == 0, 0.0).otherwise(F.cos(c("u1")) * F.cos(c("u2")) * F.sin(c("l")) / c("ss")))
-        df = df.withColumn(f"{own}c2", 1 - c("a") * c("a"))
-        df = df.withColumn(f"{own}m", F.when(c("c2") == 0, 0.0).otherwise(c("cs") - 2 * F.sin(c("u1")) * F.sin(c("u2")) / c("c2")))
-        k = f / 16 * c("c2") * (4 + f * (4 - 3 * c("c2")))
-        df = df.withColumn(f"{own}l", c("d") + (1 - k) * f * c("a") * (c("s") + k * c("ss") * (c("m") + k * c("cs") * (2 * c("m") * c("m") - 1))))
-    b = SEMI_MAJOR * (1 - f)
-    u = c("c2") * ((SEMI_MAJOR**2 - b**2) / b**2)
-    big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    m2 = 2 * c("m") * c("m") - 1
-    delta = big_b * c("ss") * (c("m") + big_b / 4 * (c("cs") * m2 - big_b / 6 * c("m") * (4 * c("ss") * c("ss") - 3) * (4 * c("m") * c("m") - 3)))
-    df = df.withColumn(name, b * big_a * (c("s") - delta) / METRES_PER_MILE)
-    return df.drop(*[x for x in df.columns if x.startswith(own)])
+    """Add the geodesic distance on WGS 84 (Vincenty's inverse formula, a fixed number of rounds).
+
+    The rounds are one fold over a struct, so the plan does not grow with their number.
+    """
+    f, b = FLATTENING, SEMI_MAJOR * (1 - FLATTENING)
+    u1, u2, d = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2))), F.radians(lng2 - lng1)
+    ends = {"sin1": F.sin(u1), "cos1": F.cos(u1), "sin2": F.sin(u2), "cos2": F.cos(u2), "d": d}
+    e = lambda n: F.col("__ends")[n]
+
+    def let(value: Column, body) -> Column:
+        """A value used several times, computed once."""
+        return F.transform(F.array(value), body)[0]
+
+    def angle(l: Column, then) -> Column:  # noqa: E741
+        """``then`` of the arc between the points, if they lie ``l`` apart on the auxiliary sphere."""
+        sin_s = F.sqrt(F.pow(e("cos2") * F.sin(l), 2) + F.pow(e("cos1") * e("sin2") - e("sin1") * e("cos2") * F.cos(l), 2))
+        cos_s = e("sin1") * e("sin2") + e("cos1") * e("cos2") * F.cos(l)
+        first = F.struct(l.alias("l"), sin_s.alias("ss"), cos_s.alias("cs"))
+
+        def second(x: Column) -> Column:
+            a = F.when(x["ss"] == 0, 0.0).otherwise(e("cos1") * e("cos2") * F.sin(x["l"]) / x["ss"])
+            return let(a, lambda a: third(x, a))
+
+        def third(x: Column, a: Column) -> Column:
+            c2 = 1 - a * a
+            m = F.when(c2 == 0, 0.0).otherwise(x["cs"] - 2 * e("sin1") * e("sin2") / c2)
+            return let(F.struct(x["ss"].alias("ss"), x["cs"].alias("cs"), F.atan2(x["ss"], x["cs"]).alias("s"), a.alias("a"), c2.alias("c2"), m.alias("m")), then)
+
+        return let(first, second)
+
+    def next_l(x: Column) -> Column:
+        k = f / 16 * x["c2"] * (4 + f * (4 - 3 * x["c2"]))
+        return e("d") + (1 - k) * f * x["a"] * (x["s"] + k * x["ss"] * (x["m"] + k * x["cs"] * (2 * x["m"] * x["m"] - 1)))
+
+    def metres(x: Column) -> Column:
+        u = x["c2"] * ((SEMI_MAJOR**2 - b**2) / b**2)
+        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m2 = 2 * x["m"] * x["m"] - 1
+        delta = big_b * x["ss"] * (x["m"] + big_b / 4 * (x["cs"] * m2 - big_b / 6 * x["m"] * (4 * x["ss"] * x["ss"] - 3) * (4 * x["m"] * x["m"] - 3)))
+        return b * big_a * (x["s"] - delta)
+
+    # The last round's arc comes from the value before it.
+    own = df.withColumn("__ends", F.struct(*[v.alias(k) for k, v in ends.items()]))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds - 1)), e("d"), lambda l, _: angle(l, next_l))  # noqa: E741
+    return own.withColumn("__last", last).withColumn(name, angle(F.col("__last"), metres) / METRES_PER_MILE).drop("__ends", "__last")
 
 
 def _bits(value: Column, low: float, high: float, n: int) -> Column:

@@ -141,12 +141,28 @@ def price_label(is_free: Column, low: Column, high: Column) -> Column:
     return F.when(is_free, "Free").when(low.isNotNull() & high.isNotNull() & (high > low), F.concat(shown(low), F.lit("–"), shown(high))).when(low.isNotNull(), F.concat(shown(low), F.lit("+")))
 
 
+# Display labels of categories and tags; others show as they are.
+CATEGORY_LABELS = {
+    "nightlife": "Nightlife", "music": "Music", "sports": "Sports", "food": "Food & Drink", "arts": "Arts & Culture", "outdoors": "Outdoors",
+    "movies": "Movies", "fitness": "Fitness", "community": "Community",
+}
+TAG_LABELS = {
+    "late-night": "Late Night", "daytime": "Daytime", "21+": "21+", "18+": "18+", "all-ages": "All Ages", "singles": "Singles", "family": "Family",
+    "date-night": "Date Night", "drinking": "Drinking", "live-music": "Live Music", "outdoor": "Outdoor", "active": "Active", "free": "Free", "ticketed": "Ticketed",
+}
+
+
+def labelled(key: Column, labels: dict[str, str]) -> Column:
+    """The label of a key, else the key."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[key], key)
+
+
 def why_this(blurb: Column, category: Column, tags: Column, is_free: Column, source: Column, categories: list[str], own_tags: list[str]) -> Column:
-    """The blurb, else the reasons why an event is shown."""
-    matched = F.slice(F.filter(tags, lambda t: t.isin(own_tags)), 1, 2)
+    """The blurb, else the reasons why an event is shown (fixed sentences)."""
+    matched = F.transform(F.slice(F.filter(tags, lambda t: t.isin(own_tags)), 1, 2), lambda t: labelled(t, TAG_LABELS))
     reasons = F.array_compact(
         F.array(
-            F.when(category.isin(categories), F.concat(F.lit("matches your "), F.lower(category), F.lit(" interest"))),
+            F.when(category.isin(categories), F.concat(F.lit("matches your "), F.lower(labelled(category, CATEGORY_LABELS)), F.lit(" interest"))),
             F.when(F.size(matched) > 0, F.concat(F.lit("tagged "), F.array_join(matched, " + "))),
             F.when(is_free, "free entry"),
             F.when(source == "claude", "hand-picked by your AI"),

@@ -58,7 +58,7 @@ SELECT id, {_norm("title")} AS normal, {_norm("split_part(address, ',', 1)")} AS
   CASE WHEN is_free THEN 'Free' WHEN price_min IS NOT NULL AND price_max IS NOT NULL AND price_max > price_min THEN '$' || CAST(price_min AS BIGINT) || '–$' || CAST(price_max AS BIGINT)
     WHEN price_min IS NOT NULL THEN '$' || CAST(price_min AS BIGINT) || '+' END AS price_label,
   CASE WHEN category IN ('food', 'music') OR len(m) > 0 OR is_free OR source = 'claude' THEN 'Matches you on: ' || array_to_string(list_filter([
-      CASE WHEN category IN ('food', 'music') THEN 'matches your ' || category || ' interest' END, CASE WHEN len(m) > 0 THEN 'tagged ' || array_to_string(m, ' + ') END,
+      CASE WHEN category IN ('food', 'music') THEN 'matches your ' || CASE category WHEN 'food' THEN 'food & drink' ELSE 'music' END || ' interest' END, CASE WHEN len(m) > 0 THEN 'tagged ' || array_to_string(list_transform(m, lambda t: CASE t WHEN 'free' THEN 'Free' WHEN 'active' THEN 'Active' ELSE t END), ' + ') END,
       CASE WHEN is_free THEN 'free entry' END, CASE WHEN source = 'claude' THEN 'hand-picked by your AI' END], lambda x: x IS NOT NULL), ', ') || '.'
     ELSE 'Showing because it''s nearby and on your radar.' END AS why
 FROM far

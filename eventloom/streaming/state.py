@@ -38,14 +38,16 @@ def rate_limited(calls: DataFrame, most: int = 10, minutes: int = 60) -> DataFra
     """(id, client_id, allowed) of calls (id, client_id, called_at).
 
     A client's calls are walked in order in one task, in batches of bounded size.
+    Calls without a client count as one client's.
     """
     span = minutes * 60_000_000
 
     def of_clients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, kept = None, []
+        client, kept = object(), []
         for batch in batches:
             out = []
-            for who, own in batch.groupby("client_id", sort=False):
+            for who, own in batch.groupby("client_id", sort=False, dropna=False):
+                who = None if pd.isna(who) else who
                 if who != client:
                     client, kept = who, []
                 kept, verdicts = _allowed(kept, _micros(own["called_at"]), most, span)
@@ -58,7 +60,10 @@ def rate_limited(calls: DataFrame, most: int = 10, minutes: int = 60) -> DataFra
 
 
 def rate_limit_stream(calls: DataFrame, most: int = 10, minutes: int = 60) -> DataFrame:
-    """The same on a stream: the state is the times of allowed calls, dropped when out of the window."""
+    """The same on a stream: the state is the times of allowed calls, dropped when the watermark has left the window behind.
+
+    Calls that come later than one window after newer ones are dropped.
+    """
     span = minutes * 60_000_000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,12 +71,15 @@ def rate_limit_stream(calls: DataFrame, most: int = 10, minutes: int = 60) -> Da
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["called_at", "id"])
-        kept, verdicts = _allowed(state.get[0] if state.exists else [], _micros(rows["called_at"]), most, span)
+        times = _micros(rows["called_at"])
+        kept, verdicts = _allowed(state.get[0] if state.exists else [], times, most, span)
         state.update(([int(x) for x in kept],))
-        state.setTimeoutDuration(minutes * 60_000)
+        # At least a moment after the watermark, which may have passed a late call's window already.
+        state.setTimeoutTimestamp(max((int(times[-1]) + span) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": rows["id"], "client_id": key[0], "allowed": verdicts})
 
-    return calls.groupBy("client_id").applyInPandasWithState(fold, "id long, client_id string, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = calls.withWatermark("called_at", f"{minutes} minutes")
+    return own.groupBy("client_id").applyInPandasWithState(fold, "id long, client_id string, allowed boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 HEALTH = "venue_id long, total_scans long, total_passed long, consecutive_empty long, consecutive_errors long, avg_quality double, next_hours double, page_hash string"

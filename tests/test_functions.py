@@ -32,6 +32,17 @@ def test_distances(spark):
     assert row[0] < 15 * 1.2 < row[1]
     df = geo.spheroid_miles(spark.range(1), F.lit(50.06632), F.lit(-5.71475), F.lit(58.64402), F.lit(-3.07009), "miles")
     assert df.first()["miles"] * geo.METRES_PER_MILE == pytest.approx(969954.1, abs=1.0)
+    same, null = (geo.spheroid_miles(spark.range(1), F.lit(50.0), F.lit(x).cast("double"), F.lit(50.0), F.lit(7.0), "miles").first()["miles"] for x in (7.0, None))
+    assert same == 0 and null is None
+
+
+def test_why_shows_display_labels(spark):
+    """Categories and tags by their labels, at most two tags; an unknown tag shows as it is."""
+    why = lambda category, tags: text.why_this(F.lit(None).cast("string"), F.lit(category), F.array(*map(F.lit, tags)), F.lit(False), F.lit("scraped"), ["food", "x"], ["live-music", "odd", "free"])
+    row = one(spark, why("food", ["live-music", "odd", "free"]), why("x", ["other"]), why("music", ["other"]))
+    assert row[0] == "Matches you on: matches your food & drink interest, tagged Live Music + odd."
+    assert row[1] == "Matches you on: matches your x interest."
+    assert row[2] == "Showing because it's nearby and on your radar."
 
 
 EVENTS = "id long, start_time timestamp, end_time timestamp, is_recurring boolean, recurrence_rule string"

@@ -34,14 +34,35 @@ def test_cluster_takes_the_next_showing(spark):
 
 
 def test_cluster_against_plain_loop(spark):
+    """Greedy, in feed order: the first cluster of the day and place whose first member is similar takes an event."""
+    from eventloom.functions import text
+
     df = tw.with_times(feed_events(spark, SF), tw.at(NOW)).withColumn("venue_name", F.lit(None).cast("string"))
-    found = resolve.cluster(df).select("id", "cluster").collect()
-    rows = {r["id"]: r for r in df.select("id", "pos", "title", "venue_id", "address", F.to_date("eff_start").alias("day")).collect()}
-    groups: dict = {}
-    for r in found:
-        groups.setdefault(r["cluster"], []).append(r["id"])
-    for members in groups.values():  # one day and one place each
-        assert len({(rows[i]["day"], rows[i]["venue_id"] or rows[i]["address"]) for i in members}) == 1
+    venue = F.coalesce(F.nullif(text.venue_word(F.col("address")), F.lit("")), F.lit(""))
+    bare = text.without_venue(F.col("title"), venue)
+    rows = df.select("id", "pos", "venue_id", text.venue_word(F.col("address")).alias("address"), F.to_date("eff_start").alias("day"), bare.alias("title"), text.tokens(bare).alias("words")).collect()
+    leaders: dict = {}
+    wanted = {}
+    for r in sorted(rows, key=lambda r: (r["pos"], r["id"])):
+        place = ("venue", r["venue_id"]) if r["venue_id"] is not None else ("address", r["address"]) if r["address"] else None
+        own, mine = leaders.setdefault((r["day"], place), []), set(r["words"])
+        for lead in own:
+            other = set(lead["words"])
+            both, fewer = len(mine & other), min(len(mine), len(other))
+            if r["title"] == lead["title"] or (fewer >= 2 and (both == fewer or both / len(mine | other) >= 0.65)):
+                wanted[r["id"]] = lead["id"]
+                break
+        else:
+            own.append(r)
+            wanted[r["id"]] = r["id"]
+    found: dict = {}
+    for r in resolve.cluster(df).select("id", "cluster").collect():
+        found.setdefault(r["cluster"], set()).add(r["id"])
+    together: dict = {}
+    for i, lead in wanted.items():
+        together.setdefault(lead, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, together.values()))
+    assert len(together) < len(rows)
 
 
 def test_rows(spark):
@@ -111,17 +132,47 @@ def test_crawl_state():
     assert now["consecutive_empty"] == 2 and now["total_passed"] == 2 and now["next_hours"] == 24.0
 
 
-def test_streaming_equals_batch(spark, tmp_path):
-    calls = [(i, f"c{i % 3}", T0 + dt.timedelta(minutes=i)) for i in range(60)]
-    df = spark.createDataFrame(calls, "id long, client_id string, called_at timestamp")
-    for k, part in enumerate(([0, 30], [30, 60])):
-        df.filter((F.col("id") >= part[0]) & (F.col("id") < part[1])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b={k}"))
+def test_calls_without_a_client(spark):
+    calls = [(i, None if i % 2 else "c", T0 + dt.timedelta(minutes=i)) for i in range(8)]
+    found = {r["id"]: r["allowed"] for r in state.rate_limited(spark.createDataFrame(calls, "id long, client_id string, called_at timestamp"), most=3).collect()}
+    assert found == {i: i < 6 for i in range(8)}
+
+
+def streamed(spark, tmp_path, df, parts, operator, mode):
+    """What a stream over the parts, one file each, gives; it ends when all are read."""
+    for k, part in enumerate(parts):
+        df.filter(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={k}"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "b=*"))
-    run = state.rate_limit_stream(source, most=3).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    run.processAllAvailable()
-    run.stop()
-    streamed = {r["id"]: r["allowed"] for r in spark.table("limited").collect()}
-    assert streamed == {r["id"]: r["allowed"] for r in state.rate_limited(df, most=3).collect()}
+    name = f"{operator.__name__}_{len(parts)}"
+    out = operator(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp"))
+    run = out.trigger(availableNow=True).start()
+    try:
+        assert run.awaitTermination(240)
+    finally:
+        run.stop()
+    return spark.table(name).collect()
+
+
+def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    calls = [(i, f"c{i % 3}" if i % 7 else None, T0 + dt.timedelta(minutes=i)) for i in range(60)]
+    df = spark.createDataFrame(calls, "id long, client_id string, called_at timestamp")
+
+    def limited(rows):
+        return state.rate_limit_stream(rows, most=3)
+
+    found = {r["id"]: r["allowed"] for r in streamed(spark, tmp_path, df, ["id < 30", "id >= 30"], limited, "append")}
+    assert found == {r["id"]: r["allowed"] for r in state.rate_limited(df, most=3).collect()}
+
+
+def test_crawl_health_stream_equals_batch(spark, tmp_path):
+    outcomes = ["ok", "ok", "error", "unchanged", "ok"]
+    scans = [(v, n, (v + n) % 3 if outcomes[(v * 2 + n) % 5] == "ok" else 0, 4, outcomes[(v * 2 + n) % 5], f"h{n // 2}", "https://x.org/events") for v in range(3) for n in range(6)]
+    df = spark.createDataFrame(scans, "venue_id long, seq long, passed long, found long, outcome string, page_hash string, source_url string")
+    rows = streamed(spark, tmp_path, df, ["seq < 3", "seq >= 3"], state.crawl_health_stream, "update")
+    last: dict = {}
+    for r in rows:  # in the order of the batches
+        last[r["venue_id"]] = max(last.get(r["venue_id"], r), r, key=lambda r: r["total_scans"])
+    assert {tuple(r) for r in last.values()} == {tuple(r) for r in state.crawl_health(df).collect()}
 
 
 def test_refresh_machine(spark):
