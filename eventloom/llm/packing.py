@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import keep, text_of
+from eventloom.llm.common import arrow_rows, keep, text_of
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
@@ -46,17 +46,20 @@ LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 class Remembered(dict):
-    """Results of a function, those seen lately kept up to a bound."""
+    """Results of a function: those of the last ``limit`` keys and those that were asked for again since the ``limit`` before."""
 
-    def __init__(self, compute, limit: int = 500_000):
+    def __init__(self, compute, limit: int = 100_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self.compute(key)
+        found = self.before.get(key)
+        if found is None:
+            found = self.compute(key)
         if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
             self[key] = found
         return found
 
@@ -214,7 +217,8 @@ def ranked(cut_pieces: DataFrame, lengths: DataFrame, block_rows: int) -> DataFr
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_rows: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut_pieces = keep(pieces(docs, tokenizer_path, capacity), "pieces")
+    with arrow_rows(spark, 1000):
+        cut_pieces = keep(pieces(docs, tokenizer_path, capacity), "pieces")
     lengths = cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in lengths.collect()}  # at most `capacity` rows
     histogram = spark.createDataFrame(list(counts.items()), "length long, n long")
