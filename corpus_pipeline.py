@@ -12,7 +12,9 @@ from eventloom.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or between languages, go."""
+    """Language ID: documents without a letter, or too short to tell languages apart, go."""
+    # Texts may be long: fewer at a time for Python. What this returns runs after this function.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return language_id.keep_languages(docs, language_id.train(docs))
 
 
