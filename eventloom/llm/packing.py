@@ -48,7 +48,7 @@ LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 class Remembered(dict):
     """Results of a function: those of the last ``limit`` keys and those that were asked for again since the ``limit`` before."""
 
-    def __init__(self, compute, limit: int = 100_000):
+    def __init__(self, compute, limit: int = 200_000):
         super().__init__()
         self.compute, self.limit, self.before = compute, limit, {}
 
