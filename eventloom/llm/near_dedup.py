@@ -7,26 +7,38 @@ needs; a dart lands if the shingle's weight reaches it. Every dart belongs to on
 coordinate, and the earliest one per coordinate is the signature. Two signatures
 agree in a coordinate with the weighted Jaccard similarity as probability.
 
-Candidates share a band of coordinates. Copies are one node of the graph, however
-many they are. In a small bucket all pairs are compared; in a large one every member
-is compared with the bucket's hub (the member with the fewest shingles, then the
-smallest node), which links a dense group with as many pairs as members. What a hub
-leaves unlinked is not dropped: its members meet again in buckets by the shingles
-that they have and the hub lacks (with ``weighted``, have more often than the hub),
-and so on until no bucket holds two components. No member is smaller than its hub R,
-so if U is not similar to R, then U and another member A can only be similar if they
-share such a shingle: else U would share as much with R, which is no larger than A.
-Each later hub is larger than the one before, so the rounds end. Of a text of n
-shingles only the rarest n - 0.8 n + 1 of those count: the rarest shingle that two
-similar texts share is among them in both.
-Similarity is verified on whole shingle sets; links join nodes to components.
+Candidates share a band of coordinates. Texts with one set of shingles are one node,
+however many they are, and lists with the same members are compared once. There are
+three rounds at most:
+
+1. The nodes of a band are compared in full if they are few. Else every one is
+   compared with their hub, the node with the fewest shingles.
+2. Nodes that stood with one hub meet again by the shingles that the hub lacks, if not
+   all of them are in its component. No node is smaller than its hub R, so if U is not
+   similar to R, then U and another node A can only be similar if they share such a
+   shingle: else U would share as much with R, which is no larger than A. Shingles
+   that the same nodes have count as one, and of each node only the rarest: a text
+   similar to U lacks at most n - 0.8 n of U's n shingles, so the rarest that both have
+   comes before U could have missed more. What so is left of one hub's nodes is
+   compared in full, up to ``small_rest`` nodes; beyond, those that share a shingle are
+   compared with a hub of their own.
+3. What these second hubs leave in the same way is compared in full, whatever its
+   number.
+
+A long list is cut into parts, and any two parts meet in one tile of bounded size.
+So no link between nodes that share a band is lost. Similarity is verified on whole
+shingle sets, and nodes of one component are never compared again. The first two
+rounds take at most a fixed number of comparisons for each node and list; the third
+takes the square of what two hubs left, nodes neither similar to a hub nor different
+enough beside it.
 
 Defined cases: texts equal byte by byte, empty and null ones included, share a class;
 a text of fewer than five words is one shingle of all of them; texts without a word
 are similar to equal texts only; the class id is the smallest non-null doc_id of the
-class, null if there is none; rows repeating id and text are one document, flagged
-alike, of which :func:`deduplicate` returns one; an empty table gives an empty
-result; extra columns are ignored; memory grows with the longest text of a batch.
+class, null if there is none; the row of that id stays, of several with different
+texts one; rows repeating id and text are one document, flagged alike, of which
+:func:`deduplicate` returns one; an empty table gives an empty result; extra columns
+are ignored; memory grows with the longest text of a batch.
 """
 
 from __future__ import annotations
@@ -39,10 +51,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import keep, text_of
+from eventloom.llm.common import arrow_rows, keep, passing, text_of
 from eventloom.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -63,7 +75,7 @@ class WordHashes(dict):
     """Hashes of words, those seen lately remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         found = xxhash.xxh3_64_intdigest(word)
         self[word] = found
@@ -172,7 +184,7 @@ def band_keys(names: np.ndarray, rows: int) -> np.ndarray:
     return mixed(keys + np.arange(k // rows, dtype=np.uint64) * _STEP).view(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most_chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most_chars: int = 250_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about so many characters of text; a longer text is a slice by itself."""
     for batch in batches:
         lengths = [len(t or "") for t in batch.column(column).to_pylist()]
@@ -198,13 +210,38 @@ class Settings:
     rows: int = 4
     similarity: float = 0.8
     weighted: bool = False
-    #: In a bucket of at most so many nodes all pairs are compared: at first, and among what a hub left unlinked.
+    #: Lists of at most so many nodes are compared in full: those of bands, then what one hub left.
     small_bucket: int = 16
-    small_rest: int = 200
+    small_rest: int = 2000
+    #: Longer lists than two sides are compared in tiles of about two sides of nodes.
+    side: int = 250
+
+
+def elements(found: np.ndarray, times: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``found``, element): shingles; with ``weighted`` every occurrence is an element of its own.
+
+    The weighted similarity of two texts is the plain one of these sets.
+    """
+    if not weighted:
+        return np.arange(len(found)), found
+    at = np.repeat(np.arange(len(found)), times)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    return at, np.where(nth > 0, mixed(found[at] + nth.astype(np.uint64) * _STEP), found[at])
+
+
+def set_digests(owner: np.ndarray, element: np.ndarray, n_sets: int) -> list[bytes | None]:
+    """A 128-bit digest of each set, None for a set without elements."""
+    out: list[bytes | None] = [None] * n_sets
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    if len(starts):
+        sums = np.stack([np.add.reduceat(mixed(element ^ salt), starts) for salt in _MULTIPLY], axis=1)
+        for i, pair in zip(owner[starts].tolist(), sums, strict=True):
+            out[i] = b"s" + pair.tobytes()
+    return out
 
 
 def sign(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Per document: doc_id, key (of the text), size of its set, bands (none for a text without words)."""
+    """Per document: doc_id, text_key, key (of its set; of the text if it has no word), size of its set, bands (none without words)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = DartMinHash(settings.bands * settings.rows)
@@ -214,20 +251,36 @@ def sign(docs: DataFrame, settings: Settings) -> DataFrame:
             keys = band_keys(hasher.signatures(owner, element, weight, len(batch)), settings.rows)
             some = np.bincount(owner, minlength=len(batch)) > 0
             size = np.bincount(owner, weights=weight, minlength=len(batch)).astype(np.int64)
+            at, whole = elements(element, times, settings.weighted)
+            digests = set_digests(owner[at], whole, len(batch))
+            own = [digest or b"t" + text for digest, text in zip(digests, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size), _lists(keys[some].ravel(), some * keys.shape[1], pa.int64())], names=["doc_id", "key", "size", "bands"]
+                [batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(size), _lists(keys[some].ravel(), some * keys.shape[1], pa.int64())],
+                names=["doc_id", "text_key", "key", "size", "bands"],
             )
+        _hashes.clear()  # the worker goes on to other work
 
-    return _keyed(docs).select("doc_id", "key", "text").mapInArrow(rows, "doc_id long, key binary, size long, bands array<long>")
+    return _keyed(docs).select("doc_id", "text_key", "text").mapInArrow(rows, "doc_id long, text_key binary, key binary, size long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = text_of()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+
+
+def nodes_of(signed: DataFrame) -> DataFrame:
+    """One node per set: node (ascending with size), key, n (rows), source (its first document, null ids last), bands."""
+    grouped = signed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("source"),
+        F.first("size").alias("size"),
+        F.first("bands").alias("bands"),
+    )
+    return keep(grouped.orderBy("size", "key").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(node, shingles, times) of the wanted nodes (node, first_id, wanted_key, repeated), from one of their documents.
+    """(node, shingles) of the wanted nodes (node, source, repeated), from one of their documents.
 
     Of a node whose rows may repeat (``repeated``) each task makes one set, and one of those stays.
     """
@@ -243,82 +296,164 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
                     made.add(node)
             for part in slices([batch.take(pa.array(first, pa.int64()))], 1):
                 owner, element, times = shingles(part.column(1).to_pylist())
-                counts = np.bincount(owner, minlength=len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _lists(element.view(np.int64), counts, pa.int64()), _lists(times, counts, pa.int64()), part.column(2)],
-                    names=["node", "shingles", "times", "repeated"],
-                )
+                at, whole = elements(element, times, settings.weighted)
+                counts = np.bincount(owner[at], minlength=len(part))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(whole.view(np.int64), counts, pa.int64()), part.column(2)], names=["node", "shingles", "repeated"])
+        _hashes.clear()
 
     own = _keyed(docs)
-    same = own["doc_id"].eqNullSafe(wanted["first_id"]) & (own["key"] == wanted["wanted_key"])
-    made = own.join(wanted, same).select("node", "text", "repeated").mapInArrow(rows, "node long, shingles array<long>, times array<long>, repeated boolean")
-    made = keep(made, "made-sets")
+    wanted = wanted.select("node", "repeated", F.col("source.doc_id").alias("from_id"), F.col("source.text_key").alias("from_key"))
+    same = own["doc_id"].eqNullSafe(wanted["from_id"]) & (own["text_key"] == wanted["from_key"])
+    made = own.join(wanted, same).select("node", "text", "repeated").mapInArrow(rows, "node long, shingles array<long>, repeated boolean")
+    with arrow_rows(docs.sparkSession, 1000):
+        made = keep(made, "made-sets")
     once = keep(made.filter("repeated").dropDuplicates(["node"]), "sets-of-repeated")
     return made.filter("NOT repeated").union(once).drop("repeated")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b, star) with ``linked``, a's size and, for pairs with a hub b, the shingles that b lacks and how many of them count."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if settings.weighted else []))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if settings.weighted else []))
-    both = pairs.join(left, "a").join(right, "b")
-    if settings.weighted:
-        counted = lambda s, t: F.map_from_arrays(s, t)
-        both = both.withColumns({"ma": counted("sa", "ta"), "mb": counted("sb", "tb")})
-        total = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda x, y: x + y)
-        common = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0).cast("long"), lambda x, e: x + F.least(F.element_at("ma", e), F.element_at("mb", e)))
-        either = total("ta") + total("tb") - common
-        size, extra = total("ta"), F.filter("sa", lambda e: F.element_at("ma", e) > F.coalesce(F.try_element_at("mb", e), F.lit(0)))
-    else:
-        common = F.size(F.array_intersect("sa", "sb"))
-        either = F.size("sa") + F.size("sb") - common
-        size, extra = F.size("sa").cast("long"), F.array_except("sa", "sb")
-    n = F.size("sa")
-    return both.select(
-        "a",
-        "b",
-        "star",
-        (common >= F.lit(settings.similarity) * either).alias("linked"),
-        size.alias("size"),
-        F.when(F.col("star"), extra).alias("extra"),
-        # Repeats may weigh more than their number, so a weighted text keeps all.
-        (n if settings.weighted else n - F.floor(F.lit(settings.similarity) * n) + 1).alias("most"),
+def _distinct_lists(rows: DataFrame) -> DataFrame:
+    """Of lists (bucket, node, component) with the same members one, with its length ``n``; none that holds a single component.
+
+    Members are the same where their number and two independent 64-bit hashes of the list agree.
+    """
+    lists = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
     )
+    chosen = lists.filter("low <> high").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return keep(rows.join(keep(chosen, "chosen"), "bucket").select("bucket", "node", "component", "n"), "lists")
 
 
-def _candidates(buckets: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b, star) of buckets (bucket, node, size): all of a small bucket, those with the hub of a large one.
+def _tiles(lists: DataFrame, side: int) -> DataFrame:
+    """(bucket, low, high, part, node, component): lists cut into tiles of about 2 * side nodes at most.
 
-    Both sides of every join are written tables, so Spark can split a large bucket.
+    A longer list is dealt into parts of about ``side`` nodes, and any two parts meet in one tile.
     """
-    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    live = keep(buckets.join(keep(counts.filter("n > 1"), "bucket-sizes"), "bucket"), "buckets")
-    small = live.filter(F.col("n") <= most).select("bucket", "node")
-    other = small.withColumnRenamed("node", "b")
-    close = small.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b").select("a", "b", F.lit(False).alias("star"))
-    large = live.filter(F.col("n") > most)
-    # The hub: smallest size, then smallest node; a partial minimum keeps one row a task.
-    hubs = keep(large.groupBy("bucket").agg(F.min(F.struct("size", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b")), "hubs")
-    stars = large.select("bucket", F.col("node").alias("a")).join(hubs, "bucket").filter("a <> b").select("a", "b", F.lit(True).alias("star"))
-    return close.unionByName(stars).distinct()
-
-
-def _one_of_equal(rows: DataFrame) -> DataFrame:
-    """Of buckets (bucket, node, size, component) that hold the same nodes one; none that holds a single component."""
-    members = rows.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
+    parts = F.when(F.col("n") <= 2 * side, F.lit(1)).otherwise(F.ceil(F.col("n") / side).cast("int"))
+    dealt = lists.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component")
+
+
+def linked_within(node: np.ndarray, component: np.ndarray, part: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the similar nodes of one tile, compared in full; nodes of one component, or of one of two parts, are not compared."""
+    n = len(node)
+    apart = component[:, None] != component[None, :]
+    if part.min() != part.max():
+        apart &= part[:, None] != part[None, :]
+    least = np.minimum(sizes[:, None], sizes[None, :])
+    apart &= least >= similarity * np.maximum(sizes[:, None], sizes[None, :])
+    if not apart.any():
+        return []
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    again = np.concatenate([[False], shingle[1:] == shingle[:-1]])
+    shared = again | np.append(again[1:], False)
+    column = np.cumsum(~again[shared]) - 1  # of shingles that two nodes have
+    owner = owner[shared]
+    common = np.zeros((n, n), np.float32)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, columns, 4096):
+        inside = slice(*np.searchsorted(column, [low, low + 4096]))
+        has = np.zeros((n, min(4096, columns - low)), np.float32)
+        has[owner[inside], column[inside] - low] = 1
+        common += has @ has.T
+    linked = apart & (common >= similarity * (sizes[:, None] + sizes[None, :] - common))
+    label = np.arange(n)
+    while True:  # every node takes the least label among those that it is linked to
+        lower = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        if (lower == label).all():
+            break
+        label = lower
+    return [(int(node[i]), int(node[j])) for i, j in enumerate(label.tolist()) if i != j]
+
+
+def verify(tiles: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) of the tiles; a task holds one tile's sets at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def compared(tile: pa.Table) -> list[tuple[int, int]]:
+            node, component, part = (tile.column(i).to_numpy() for i in (3, 4, 5))
+            lists = tile.column(6).combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            return linked_within(node, component, part, lists.flatten().to_numpy(), sizes, settings.similarity)
+
+        for batch in chain(batches, [None]):
+            found = []
+            if batch is None or not len(batch):
+                cuts = []
+            else:
+                keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+                cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+                if rest and any(rest[-1].column(i)[-1] != batch.column(i)[0] for i in range(3)):
+                    cuts.insert(0, 0)
+            start = 0
+            for cut in cuts:
+                found += compared(pa.Table.from_batches([*rest, *([batch.slice(start, cut - start)] if cut > start else [])]))
+                rest, start = [], cut
+            if batch is not None and len(batch):
+                rest.append(batch.slice(start))
+            elif batch is None and rest:
+                found += compared(pa.Table.from_batches(rest))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    whole = tiles.join(sets, "node").select("bucket", "low", "high", "node", "component", "part", "shingles")
+    dealt = whole.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return dealt.mapInArrow(rows, "a long, b long")
+
+
+def compare_with_hubs(large: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Members of lists against their hub, the smallest node: node, hub, linked, extra (what the hub lacks), spare.
+
+    Both sides of every join are written tables, so Spark can split a large list.
+    """
+    hubs = keep(large.groupBy("bucket").agg(F.min("node").alias("hub")), "hubs")
+    pairs = keep(large.select("bucket", "node").join(hubs, "bucket").filter("node <> hub").select("node", "hub").distinct(), "pairs-with-hubs")
+    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
+    common = F.size(F.array_intersect("shingles", "of_hub"))
+    n = F.size("shingles")
+    return pairs.join(sets, "node").join(other, "hub").select(
+        "node",
+        "hub",
+        (common >= F.lit(settings.similarity) * (n + F.size("of_hub") - common)).alias("linked"),
+        F.array_except("shingles", "of_hub").alias("extra"),
+        # A text that is similar to this one lacks at most so many of its shingles.
+        (n - F.floor(F.lit(settings.similarity) * n)).alias("spare"),
+    )
+
+
+def _meetings(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, bucket, node, component): nodes that stood with one hub and share a shingle that it lacks, if one of them is not in its component.
+
+    Shingles of a hub that the same nodes have are one; of each node only its rarest
+    count, until it could not do without more of them.
+    """
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
+    own = _labelled(stars, labels).join(of_hub, "hub", "left").withColumn("loose", F.col("component") != F.coalesce("of_hub", "hub"))
+    own = keep(own.select("hub", "node", "component", "loose", "extra", "spare"), "stars")
+    spread = own.select("hub", "node", "component", "loose", "spare", F.size("extra").alias("extras"), F.explode("extra").alias("shingle"))
+    shared = spread.groupBy("hub", "shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"), F.max("loose").alias("any_loose")
     )
-    chosen = members.filter("low <> high").groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))
-    return rows.join(keep(chosen.select("bucket"), "mixed"), "bucket").select("bucket", "node", "size")
+    bundles = shared.filter("n > 1").groupBy("hub", "n", "h1", "h2", "any_loose").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("weight"))
+    placed = spread.join(keep(bundles.select("hub", "shingle", "n", "weight", "any_loose"), "bundles"), ["hub", "shingle"])
+    of_node = Window.partitionBy("hub", "node")
+    rarer = F.coalesce(F.sum("weight").over(of_node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alone = F.col("extras") - F.sum("weight").over(of_node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = placed.withColumns({"rarer": rarer, "alone": alone})
+    return ranked.filter("any_loose AND rarer + alone <= spare").select("hub", F.xxhash64("hub", "shingle").alias("bucket"), "node", "component")
 
 
-def _meetings(stars: DataFrame) -> DataFrame:
-    """(bucket, node, size, component): stars of one hub that share one of their rarest shingles, with one that is left among them."""
-    spread = stars.select("hub", "node", "size", "component", "left", "most", F.explode("extra").alias("shingle"))
-    counts = keep(spread.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("loose")), "extra-counts")
-    rarest = Window.partitionBy("hub", "node").orderBy("n", "shingle")
-    nth = spread.join(counts, ["hub", "shingle"]).withColumn("nth", F.row_number().over(rarest))
-    return nth.filter("nth <= most AND n > 1 AND loose").select(F.xxhash64("hub", "shingle").alias("bucket"), "node", "size", "component")
+def _of_hubs(met: DataFrame) -> DataFrame:
+    """The nodes that meet again under one hub, as one list (bucket: the hub)."""
+    return met.select(F.col("hub").alias("bucket"), "node", "component").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,57 +462,62 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(node, component) of all nodes that have a link."""
-    buckets = nodes.select("node", "size", F.explode("bands").alias("bucket")).select("bucket", "node", "size")
-    pairs = keep(_candidates(buckets, settings.small_bucket), "candidates")
-    members = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = members.join(nodes.select("node", "first_id", F.col("key").alias("wanted_key"), (F.col("n") > 1).alias("repeated")), "node")
-    sets = shingle_sets(docs, wanted, settings)
-    tested = labels = None
-    while True:
-        found = keep(compare(pairs, sets, settings), "compared")
-        linked = found.filter("linked").select("a", "b")
-        tested = pairs.select("a", "b") if tested is None else keep(tested.union(pairs.select("a", "b")), "tested")
+    """(node, component) of all nodes that have a link: three rounds at most, see the module's text."""
+    lists = _distinct_lists(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("component")))
+    members = lists.select("node").distinct()
+    sets = shingle_sets(docs, members.join(nodes.select("node", "source", (F.col("n") > 1).alias("repeated")), "node"), settings)
+
+    def round_(full: DataFrame, large: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """New labels, and what was compared with hubs."""
+        links, stars = verify(_tiles(full, settings.side), sets, settings), None
+        if large is not None:
+            stars = keep(compare_with_hubs(large, sets, settings), "with-hubs")
+            links = links.union(stars.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        with arrow_rows(docs.sparkSession, 1000):
+            links = keep(links, "found")
         if labels is None:
-            labels = components(linked)
-        elif not linked.isEmpty():
-            labels = components(linked.union(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if found.filter("star").isEmpty():
-            return labels
-        # Members of one hub's buckets meet again by the shingles that the hub lacks.
-        stars = _labelled(found.filter("star").select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "extra", "most"), labels)
-        hub_labels = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        stars = stars.join(hub_labels, "hub", "left").withColumn("left", F.col("component") != F.coalesce("hub_component", "hub"))
-        stars = keep(stars.select("hub", "node", "size", "component", "left", "extra", "most"), "stars")
-        again = keep(_one_of_equal(keep(_meetings(stars), "met")), "again")
-        if again.isEmpty():
-            return labels
-        seen = tested.distinct().withColumnsRenamed({"a": "ta", "b": "tb"})
-        # Pairs with a hub are all compared again, known or not: whoever stands with the hub may meet others later.
-        new = _candidates(again, settings.small_rest)
-        same = (F.least("a", "b") == F.least("ta", "tb")) & (F.greatest("a", "b") == F.greatest("ta", "tb"))
-        new = new.filter("star").union(new.filter("NOT star").join(seen, same, "left_anti"))
-        own = _labelled(new.withColumnRenamed("a", "node"), labels).withColumnsRenamed({"node": "a", "component": "ca"})
-        pairs = _labelled(own.withColumnRenamed("b", "node"), labels).withColumnsRenamed({"node": "b", "component": "cb"})
-        pairs = keep(pairs.filter("star OR ca <> cb").select("a", "b", "star"), "candidates")
+            return components(links), stars
+        known = labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return (labels if links.isEmpty() else components(links.union(known))), stars
+
+    labels, stars = round_(lists.filter(F.col("n") <= settings.small_bucket), lists.filter(F.col("n") > settings.small_bucket), None)
+    if stars.isEmpty():
+        return labels
+    met = keep(_meetings(stars, labels), "met")
+    rest = _distinct_lists(_of_hubs(met))
+    crowded = keep(rest.filter(F.col("n") > settings.small_rest).select(F.col("bucket").alias("hub")).distinct(), "crowded")
+    if crowded.isEmpty():
+        return round_(rest, None, labels)[0]
+    large = _distinct_lists(met.join(crowded, "hub", "left_semi").select("bucket", "node", "component"))
+    labels, stars = round_(rest.filter(F.col("n") <= settings.small_rest), large, labels)
+    return round_(_distinct_lists(_of_hubs(_meetings(stars, labels))), None, labels)[0]
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per document: doc_id, class_id, class_size, kept, key."""
-    signed = keep(sign(docs, settings), "signed")
-    grouped = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = keep(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labelled = keep(_labelled(nodes.select("node", "key", "first_id", "n"), link(docs, nodes, settings)), "labelled")
-    whole = keep(labelled.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
+    """Per document: doc_id, class_id, class_size, kept, text_key."""
+    with arrow_rows(docs.sparkSession, 1000):
+        signed = keep(sign(docs, settings), "signed")
+    with passing(docs.sparkSession):
+        nodes = nodes_of(signed)
+        labelled = keep(_labelled(nodes.select("node", "key", "source", "n"), link(docs, nodes, settings)), "labelled", lasting=True)
+    whole = keep(labelled.groupBy("component").agg(F.min("source").alias("first"), F.sum("n").alias("class_size")), "classes")
     by_key = keep(labelled.select("key", "component").join(whole, "component").drop("component"), "class-keys")
-    return signed.select("doc_id", "key").join(by_key, "key").select(
-        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "key"
+    return signed.select("doc_id", "text_key", "key").join(by_key, "key").select(
+        "doc_id",
+        F.col("first.doc_id").alias("class_id"),
+        "class_size",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"),
+        "text_key",
     )
 
 
+def _row_key(doc_id: Column, text_key: Column) -> Column:
+    """Names a row by its id and text: one column, so that what is joined by it is also grouped by it."""
+    return F.unhex(F.md5(F.concat(text_key, F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))))
+
+
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document, with its own columns, of each class."""
-    kept = classes(docs, settings).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("key").alias("__keep_key")).distinct()
-    tagged = docs.withColumn("__key", F.unhex(F.md5(text_of())))
-    same = tagged["doc_id"].eqNullSafe(kept["__keep_id"]) & (tagged["__key"] == kept["__keep_key"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    kept = classes(docs, settings).filter("kept").select(_row_key(F.col("doc_id"), F.col("text_key")).alias("__row"))
+    tagged = docs.withColumn("__row", _row_key(F.col("doc_id").cast("long"), F.unhex(F.md5(text_of()))))
+    return tagged.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -37,7 +37,7 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(_table(spark, sf_dir, "documents")).drop("key")
+    return near_dedup.classes(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.new_index(spark)
     try:
-        resolved = exact_dedup.resolve(_table(spark, sf_dir, "documents"), index)
+        resolved = exact_dedup.resolve_table(_table(spark, sf_dir, "documents"), index)
     finally:
         index.drop()
     return resolved.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

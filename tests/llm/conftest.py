@@ -21,7 +21,7 @@ def edge_docs(spark):
         (7, "!!! ### 123", "de", "web", 11),
         (8, "größe straße übung 東京 \U0001f600 été\n\n\x00\x1f", "de", "books", 30),
     ]
-    names = ["digest", "keep_id", "node", "key", "rank", "words", "hits", "size", "rate", "kept", "length", "n", "level", "bucket", "score"]
+    names = ["digest", "keep_id", "node", "key", "rank", "words", "hits", "size", "rate", "kept", "length", "n", "level", "bucket", "score", "quality", "hub", "batch", "n_words"]
     df = spark.createDataFrame(rows, DOCUMENTS)
     for name in names:
         df = df.selectExpr("*", f"'clash' AS {name}")

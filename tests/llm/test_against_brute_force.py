@@ -100,7 +100,7 @@ def test_near_classes_in_large_buckets(spark):
         rows += [(len(rows) + i, " ".join(passage + fresh(55 + group))) for i in range(5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for small in (2, 16):
-        settings = near_dedup.Settings(small_bucket=small, small_rest=4)
+        settings = near_dedup.Settings(small_bucket=small, small_rest=4, side=3)
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame, settings).collect()} == _classes(rows)
 
 
@@ -115,20 +115,22 @@ def test_near_classes_of_texts_smaller_than_others(spark):
     wanted = _classes(rows)
     assert len(set(wanted.values())) > 3
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    settings = near_dedup.Settings(bands=1, rows=1, small_bucket=2, small_rest=2)
-    # One band alone, in which all truncations meet: other bands cannot make up for a hub.
-    signed = near_dedup.sign(frame, settings).drop("bands").withColumn("bands", F.array(F.floor(F.col("doc_id") / 35)))
-    grouped = signed.withColumnsRenamed({"doc_id": "first_id"}).withColumns({"node": F.col("first_id"), "n": F.lit(1)})
-    found = {r["node"]: r["component"] for r in near_dedup.link(frame, grouped, settings).collect()}
-    assert {i: found.get(i, i) for i in wanted} == wanted
+    for rest in (2, 1000):
+        settings = near_dedup.Settings(bands=1, rows=1, small_bucket=2, small_rest=rest, side=4)
+        # One band alone, in which all truncations meet: other bands cannot make up for a hub.
+        signed = near_dedup.sign(frame, settings).withColumn("bands", F.array(F.floor(F.col("doc_id") / 35)))
+        nodes = near_dedup.nodes_of(signed)
+        component = {r["node"]: r["component"] for r in near_dedup.link(frame, nodes, settings).collect()}
+        found = {r["source"]["doc_id"]: component.get(r["node"], r["node"]) for r in nodes.collect()}
+        first = {c: min(i for i, other in found.items() if other == c) for c in found.values()}
+        assert {i: first[c] for i, c in found.items()} == wanted
 
 
 def test_one_shingle_set_for_repeated_rows(spark):
     """Rows that repeat id and text, null ids too, in many tasks: one set a node."""
     rows = [(i, t) for i, t in ((1, "a b c d e f g"), (None, "h i j k l m n"), (2, "o p q r s t u")) for _ in range(40)] + [(3, "v w x y z a b")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    signed = near_dedup.sign(frame, near_dedup.Settings()).groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    nodes = signed.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("first_id"), F.col("key").alias("wanted_key"), (F.col("n") > 1).alias("repeated"))
+    nodes = near_dedup.nodes_of(near_dedup.sign(frame, near_dedup.Settings())).select("node", "source", (F.col("n") > 1).alias("repeated"))
     sets = near_dedup.shingle_sets(frame, F.broadcast(near_dedup.keep(nodes, "nodes")), near_dedup.Settings()).collect()
     assert len(sets) == len({r["node"] for r in sets}) == 4 and all(len(r["shingles"]) == 3 for r in sets)
 
@@ -172,6 +174,27 @@ def test_ppm_costs():
         assert model.bits(language_id.grams(data, order))[0] == pytest.approx(_ppm_bits(train, order, data[:order], data[order]))
 
 
+def test_letters(spark):
+    """Number characters are no letters; letters of any script are."""
+    texts = {1: "\u00bd \u00b2 12 \u2167 !", 2: "\u6771", 3: "\u00aa", 4: "_ 7", 5: None, 6: "x\u00bd"}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert {i for i, (lang, score) in found.items() if lang == "und" and score == 0} == {1, 4, 5}
+
+
+def test_sample_of_rows_without_id(spark):
+    """Rows with a null id, and repeated rows, keep the sample's bound."""
+    docs = spark.createDataFrame([(None, f"text number {i}", "en") for i in range(2000)] + [(7, "the same", "en")] * 2000, "doc_id long, text string, lang string")
+    seen = []
+    counts = language_id.training_counts
+    try:
+        language_id.training_counts = lambda rows, order: seen.append(rows.count()) or counts(rows, order)
+        language_id.train(docs, sample_docs=100)
+    finally:
+        language_id.training_counts = counts
+    assert 0 < seen[0] < 200
+
+
 def test_languages_of_held_out_documents(spark):
     found = queries.QUERIES["op3_language_id"](spark, LARGER).join(spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert found.filter("held_out AND lang IS NOT NULL").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.9
@@ -191,6 +214,8 @@ def test_quality_measures(spark, docs):
 
     for r in queries.QUERIES["op4_quality_rules"](spark, SF).collect():
         assert tuple(r)[1:7] == plain(dict(docs)[r["doc_id"]])
+    for boilerplate in ("Wir verwenden Cookies auf dieser Seite.", "Tous droits réservés, 2024.", "Política de privacidad", "Privacy Policy"):
+        assert quality_rules.clean_text(f"Good text.\n{boilerplate}\nMore.") == "Good text.\nMore."
     prose = "This is a sentence with some words in it number {}.\n"
     junk = "home | news | sport | about | login\n" * 20 + "accept cookies\n" * 20
     text = "".join(prose.format(i) * 1 for i in range(30))
@@ -206,7 +231,12 @@ def test_automaton_matches_regex():
     globs = ["*.ads.**", "**/x/**", "**.exe", "*a*b", "**", "a*"] + ["".join(rng.choices(["a", "b", "/", ".", "*", "**"], k=rng.randint(1, 9))) for _ in range(60)]
     globs = [g for g in globs if "***" not in g]
     texts = ["", *("".join(rng.choices("ab/.xés", k=rng.randint(1, 14))) for _ in range(300))]
-    found = url_filter.Automaton.of(globs).matches(texts)
+    # Rules longer than a word of bits, with a text each that they fit but for the last character.
+    long = ["".join(rng.choices("ab", k=200)), "**" + "".join(rng.choices("ab/", k=150)) + "**x", "a" * 63 + "*b"]
+    globs += long
+    texts += [long[0], long[0][:-1] + "c", "éé" + long[1][2:-3] + "//x", long[1][2:-3] + "//y", "a" * 63 + "éb", "a" * 62 + "éb"]
+    found = url_filter.Automaton.of(globs).matches(texts, most_chars=500)
+    assert found[-6:, -3:].sum() == 3
     for (i, text), (j, glob) in product(enumerate(texts), enumerate(globs)):
         assert found[i, j] == bool(re.search(queries._glob_regex(glob), text)), (text, glob)
 
@@ -322,8 +352,30 @@ def test_index_persists_between_batches(spark):
         second = {r["doc_id"]: r for r in exact_dedup.resolve(batch((0, "a\tb"), (4, "d")), index).collect()}
         assert second[0]["keep_id"] == 1 and not second[0]["kept"] and second[4]["kept"]
         assert index.rows().count() == 3
-        plan = index.rows().join(batch((1, "x")).selectExpr("CAST(text AS BINARY) AS digest").hint("merge"), "digest", "left_anti")
-        assert "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = batch((1, "x")).selectExpr("CAST(text AS BINARY) AS digest").join(index.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        # Only the new side is shuffled: the index lies in buckets by digest.
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_whole_table_through_the_index(spark, edge_docs, batches):
+    """In any number of batches the smallest id stays, null ids come last, and the index holds every digest once."""
+    rows = [(r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in edge_docs.collect()]
+    rows_in_order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    first = {}
+    for i, text in rows_in_order:
+        first.setdefault(text, i)
+    index = exact_dedup.new_index(spark)
+    try:
+        found = exact_dedup.resolve_table(edge_docs, index, batches).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found), key=repr) == sorted(
+            ((i, first[t], sum(t == u for _, u in rows), i == first[t]) for i, t in rows), key=repr
+        )
+        assert index.rows().count() == len(first)
     finally:
         index.drop()
 
