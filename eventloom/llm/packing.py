@@ -21,6 +21,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -128,7 +129,7 @@ def tokenizer(path: str) -> TextIds:
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        letters, pack_ids = byte_letters(), lambda ids: np.array(ids, "<u4").tobytes()
+        letters, pack_ids = byte_letters(), lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         _loaded[path] = TextIds(
             lambda text: pack_ids(own.encode(text, add_special_tokens=False).ids),
             # What is one run for the pre-tokeniser goes to its model at once.
