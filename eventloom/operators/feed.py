@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import geo, score
 from eventloom.functions import timewin as tw
+from eventloom.sources.tables import keep
 
 FEED_FLOOR = 20
 DEFAULT_RADIUS = 5.0
@@ -112,6 +113,21 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__nth = 1").drop("__nth")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add ``name``: 1, 2 and so on in an order that is without ties.
+
+    Rows are dealt into ranges of the order, and each range counts on from the end of
+    those before it, so no task holds all rows. The ranges are written, since their
+    bounds are drawn anew whenever they are computed.
+    """
+    ranges = keep(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + within).drop("__range", "__start")
+
+
 def venue_key() -> Column:
     """What counts as one place: venue, else address, else title."""
     return F.coalesce(F.col("venue_id").cast("string"), F.nullif(F.col("address"), F.lit("")), F.col("title"))
@@ -162,8 +178,16 @@ def balance(feed: DataFrame, pool: DataFrame, column: str, least_kinds: int | No
     both = stays.drop("__in_kind", "top_kind", "to_drop").withColumns({"__side": F.lit(0), "__kind_pos": F.lit(0).cast("long"), "__nth": F.lit(0)}).unionByName(
         fresh.crossJoin(F.broadcast(added.select("n_added"))).withColumn("__side", F.lit(1))
     )
-    place = F.row_number().over(Window.orderBy(F.when(F.col("n_added") > 0, F.col("eff_start")), "__side", "__kind_pos", "pos"))
-    return both.withColumn("pos", F.when(F.col("n_added") > 0, place.cast("long")).otherwise(F.col("pos"))).drop("__kind", "__side", "__kind_pos", "__nth", "n_added")
+    by_start = [F.when(F.col("n_added") > 0, F.col("eff_start")), F.col("__side"), F.col("__kind_pos"), F.col("pos"), F.col("id")]
+    placed = numbered(both, by_start, "__place")
+    return placed.withColumn("pos", F.when(F.col("n_added") > 0, F.col("__place")).otherwise(F.col("pos"))).drop("__kind", "__side", "__kind_pos", "__nth", "n_added", "__place")
+
+
+def reconciled_reminders(saved: DataFrame, planned: DataFrame, now: Column) -> DataFrame:
+    """(id, action): reminders of events no longer saved are cancelled; saved events that start later and have none get one."""
+    cancel = planned.select("id").distinct().join(saved.select("id"), "id", "left_anti").withColumn("action", F.lit("cancel"))
+    new = saved.filter(F.col("eff_start") > now).select("id").distinct().join(planned.select("id"), "id", "left_anti")
+    return cancel.union(new.withColumn("action", F.lit("schedule")))
 
 
 def top(events: DataFrame, points: Column, n: int, least: Column | None = None) -> DataFrame:
@@ -203,10 +227,15 @@ def widen(ranked: DataFrame, miles: float, floor: int = FEED_FLOOR, explicit: bo
     return tiered.join(F.broadcast(wanted), "tier", "left_semi")
 
 
+def ranking_keys() -> list[Column]:
+    """Best rank first, model finds first among equals, then input order."""
+    return [F.coalesce("rank_score", F.lit(-1.0)).desc(), F.when(F.col("source") == "claude", 0).otherwise(1), F.col("pos")]
+
+
 def apply_ranking(events: DataFrame, ranking: DataFrame) -> DataFrame:
     """Events with rank_score and blurb of a ranking (event_id, rank_score, blurb), best first, model finds first among equals."""
     joined = events.join(ranking.withColumnRenamed("event_id", "id"), "id", "left")
-    return joined.orderBy(F.coalesce("rank_score", F.lit(-1.0)).desc(), F.when(F.col("source") == "claude", 0).otherwise(1), "pos")
+    return joined.orderBy(*ranking_keys())
 
 
 # Rows of goals, and when an event belongs to them.

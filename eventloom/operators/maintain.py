@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import classify as cl
@@ -52,3 +52,8 @@ def canonical_rules(events: DataFrame) -> DataFrame:
 
 def capped_ends(events: DataFrame) -> DataFrame:
     return events.withColumn("end_time", tw.capped_end(F.col("start_time"), F.col("end_time"), F.col("is_recurring")))
+
+
+def recent_calls(calls: DataFrame, now: Column, n: float = 1) -> DataFrame:
+    """Calls of the rate limit that a purge leaves: those of the last hours."""
+    return calls.filter(F.col("called_at") >= now - tw.hours(n))

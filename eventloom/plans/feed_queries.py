@@ -86,10 +86,10 @@ FROM near WHERE distance <= {miles}
 
 def _discovered(spark: SparkSession, sf_dir: str, miles: float, **filters) -> DataFrame:
     now = now_column()
-    found = feed.discover(feed_events(spark, sf_dir), venues(spark, sf_dir), ORIGIN, miles, now, **filters)
+    found = feed.numbered(feed.discover(feed_events(spark, sf_dir), venues(spark, sf_dir), ORIGIN, miles, now, **filters), feed.rank_keys(now), "rank")
     return found.select(
         "id", "source", "title", F.round("distance", 6).alias("distance"), F.col("quality").cast("int").alias("quality"), F.array_join("tags", ",").alias("tags"),
-        F.col("venue.name").alias("venue_name"), F.col("venue.rating").alias("venue_rating"), F.row_number().over(Window.orderBy(*feed.rank_keys(now))).alias("rank"),
+        F.col("venue.name").alias("venue_name"), F.col("venue.rating").alias("venue_rating"), "rank",
     )
 
 
@@ -345,10 +345,10 @@ def feed_venue_cap(spark, sf_dir):
     return feed.venue_cap(feed_events(spark, sf_dir), 3).select("id", "pos")
 
 
-@query("feed_diversify", f"WITH {FEED_SQL}, capped AS ({_CAPPED} WHERE id % 40 = 1) SELECT id FROM capped WHERE nth <= CASE WHEN (SELECT count(*) FROM capped WHERE nth <= 3) >= 120 THEN 3 ELSE 8 END")
+@query("feed_diversify", f"WITH {FEED_SQL}, capped AS ({_CAPPED}) SELECT id FROM capped WHERE nth <= CASE WHEN (SELECT count(*) FROM capped WHERE nth <= 3) >= 120 THEN 3 ELSE 8 END")
 def feed_diversify(spark, sf_dir):
     """Variety where supply allows, else volume."""
-    return feed.diversify(feed_events(spark, sf_dir).filter("id % 40 = 1"), target=120).select("id")
+    return feed.diversify(feed_events(spark, sf_dir), target=120).select("id")
 
 
 def _balance_sql(column: str, least: int | None) -> str:
@@ -356,7 +356,7 @@ def _balance_sql(column: str, least: int | None) -> str:
     cut = f"WHERE kind_no <= {least} - (SELECT count(*) FROM kinds)" if least else ""
     wanted = "source IN ('ticketmaster', 'meetup')" if column == "source" else "category IN ('nightlife', 'outdoors')"
     return f"""
-WITH {TIMED_SQL}, pool AS (SELECT *, {kind} AS kind FROM timed WHERE id % 3 = 0), chosen AS (SELECT * FROM pool WHERE {wanted} AND id < 3000),
+WITH {TIMED_SQL}, pool AS (SELECT *, {kind} AS kind FROM timed), chosen AS (SELECT * FROM pool WHERE {wanted}),
 kinds AS (SELECT kind, count(*) AS n, min(pos) AS first_pos FROM chosen GROUP BY kind),
 top AS (SELECT kind, n FROM kinds ORDER BY n DESC, first_pos LIMIT 1),
 lacking AS (SELECT kind, min(pos) AS kind_pos FROM pool GROUP BY kind HAVING count(*) >= 2 AND kind NOT IN (SELECT kind FROM kinds)),
@@ -372,22 +372,22 @@ SELECT id, CASE WHEN (SELECT count(*) FROM two) > 0 THEN row_number() OVER (ORDE
 @query("feed_balance_sources", _balance_sql("source", None))
 def feed_balance_sources(spark, sf_dir):
     """W3, A8, J9, L3."""
-    pool = timed(spark, sf_dir).filter("id % 3 = 0")
-    return feed.balance(pool.filter("source IN ('ticketmaster', 'meetup') AND id < 3000"), pool, "source").select("id", "pos")
+    pool = timed(spark, sf_dir)
+    return feed.balance(pool.filter("source IN ('ticketmaster', 'meetup')"), pool, "source").select("id", "pos")
 
 
 @query("feed_balance_categories", _balance_sql("category", 3))
 def feed_balance_categories(spark, sf_dir):
     """W4."""
-    pool = timed(spark, sf_dir).filter("id % 3 = 0")
-    return feed.balance(pool.filter("category IN ('nightlife', 'outdoors') AND id < 3000"), pool, "category", 3).select("id", "pos")
+    pool = timed(spark, sf_dir)
+    return feed.balance(pool.filter("category IN ('nightlife', 'outdoors')"), pool, "category", 3).select("id", "pos")
 
 
 @query(
     "feed_widen",
     f"""
 WITH {FEED_SQL}, far AS (
-  SELECT id, {_haversine(str(ORIGIN[0] + 0.2), str(ORIGIN[1]))} AS distance FROM feed WHERE id % 50 = 1
+  SELECT id, {_haversine(str(ORIGIN[0] + 0.2), str(ORIGIN[1]))} AS distance FROM feed
 ), tiered AS (SELECT *, CASE WHEN distance <= 5 THEN 0 WHEN distance <= 15 THEN 1 WHEN distance <= 30 THEN 2 WHEN distance <= 50 THEN 3 WHEN distance <= 100 THEN 4 END AS tier FROM far),
 counts AS (SELECT tier, count(*) AS n FROM tiered WHERE tier IS NOT NULL GROUP BY tier),
 wanted AS (SELECT tier FROM (SELECT tier, coalesce(sum(n) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts) WHERE tier = 0 OR before < 20)
@@ -396,20 +396,19 @@ SELECT id, tier FROM tiered WHERE tier IN (SELECT tier FROM wanted)
 )
 def feed_widen(spark, sf_dir):
     """Wider radii until the feed is long enough."""
-    near = feed_events(spark, sf_dir).filter("id % 50 = 1").withColumn("distance", geo.haversine_miles(F.lit(ORIGIN[0] + 0.2), F.lit(ORIGIN[1]), F.col("lat"), F.col("lng")))
+    near = feed_events(spark, sf_dir).withColumn("distance", geo.haversine_miles(F.lit(ORIGIN[0] + 0.2), F.lit(ORIGIN[1]), F.col("lat"), F.col("lng")))
     return feed.widen(near, 5.0).select("id", "tier")
 
 
 @query(
     "feed_rank_merge",
-    f"WITH {FEED_SQL}, ranking AS (SELECT id, (id % 97) / 97.0::DOUBLE AS rank_score FROM feed WHERE id % 3 = 0) SELECT e.id, r.rank_score, row_number() OVER (ORDER BY coalesce(rank_score, -1) DESC, CASE WHEN source = 'claude' THEN 0 ELSE 1 END, pos) AS place FROM feed e LEFT JOIN ranking r ON e.id = r.id",
+    f"WITH {FEED_SQL}, ranking AS (SELECT id, (id % 97) / 97.0::DOUBLE AS rank_score FROM feed WHERE category IN ('music', 'food', 'arts')) SELECT e.id, r.rank_score, row_number() OVER (ORDER BY coalesce(rank_score, -1) DESC, CASE WHEN source = 'claude' THEN 0 ELSE 1 END, pos) AS place FROM feed e LEFT JOIN ranking r ON e.id = r.id",
 )
 def feed_rank_merge(spark, sf_dir):
     """J6, L11."""
     own = feed_events(spark, sf_dir)
-    ranking = own.filter("id % 3 = 0").select(F.col("id").alias("event_id"), (F.col("id") % 97 / F.lit(97.0)).alias("rank_score"), F.lit("why").alias("blurb"))
-    place = Window.orderBy(F.coalesce("rank_score", F.lit(-1.0)).desc(), F.when(F.col("source") == "claude", 0).otherwise(1), "pos")
-    return feed.apply_ranking(own, ranking).select("id", "rank_score", F.row_number().over(place).alias("place"))
+    ranking = own.filter("category IN ('music', 'food', 'arts')").select(F.col("id").alias("event_id"), (F.col("id") % 97 / F.lit(97.0)).alias("rank_score"), F.lit("why").alias("blurb"))
+    return feed.numbered(feed.apply_ranking(own, ranking).select("id", "rank_score", "source", "pos"), feed.ranking_keys(), "place").select("id", "rank_score", "place")
 
 
 _IN_ROW = {
@@ -426,68 +425,28 @@ _IN_ROW = {
 
 @query(
     "feed_rows",
-    f"WITH {TIMED_SQL}, far AS (SELECT *, {_haversine(str(ORIGIN[0]), str(ORIGIN[1]))} AS distance FROM timed WHERE id % 10 = 0), members AS ("
+    f"WITH {TIMED_SQL}, far AS (SELECT *, {_haversine(str(ORIGIN[0]), str(ORIGIN[1]))} AS distance FROM timed), members AS ("
     + " UNION ALL ".join(f"SELECT {n} AS no, '{k}' AS row_id, id, pos, eff_start FROM far WHERE {c}" for n, (k, c) in enumerate(_IN_ROW.items()) if k != "goal-live-music")
     + """), sizes AS (SELECT no, row_id, row_number() OVER (ORDER BY no) AS row_no FROM members GROUP BY no, row_id HAVING count(*) >= CASE WHEN no = 0 THEN 1 ELSE 3 END)
 SELECT row_no, row_id, id, row_number() OVER (PARTITION BY row_id ORDER BY eff_start, pos) AS place FROM members JOIN sizes USING (no, row_id) WHERE row_no <= 6""",
 )
 def feed_rows(spark, sf_dir):
     """Titled rows with thresholds, hidden rows and the cap."""
-    own = with_distance(timed(spark, sf_dir).filter("id % 10 = 0"))
+    own = with_distance(timed(spark, sf_dir))
     return feed.discovery_rows(own, now_column(), GOALS, hidden=["goal-live-music"])
 
 
-@query("feed_merge_unique", f"WITH {FEED_SQL} SELECT id FROM feed WHERE id % 3 = 0 UNION SELECT id FROM feed WHERE id % 4 = 0")
+@query("feed_merge_unique", f"WITH {FEED_SQL} SELECT id FROM feed WHERE category <> 'movies' UNION SELECT id FROM feed WHERE source <> 'reddit'")
 def feed_merge_unique(spark, sf_dir):
     """Rows of a second list whose id is new."""
     own = feed_events(spark, sf_dir)
-    return feed.merge_unique(own.filter("id % 3 = 0"), own.filter("id % 4 = 0")).select("id")
+    return feed.merge_unique(own.filter("category <> 'movies'"), own.filter("source <> 'reddit'")).select("id")
 
 
-@query("feed_saved_sections", f"WITH {TIMED_SQL} SELECT id, section, row_number() OVER (PARTITION BY section ORDER BY eff_start, pos) AS place FROM (SELECT *, CASE WHEN eff_start <= {TS} AND eff_end <= {TS} THEN 'past' ELSE 'upcoming' END AS section FROM timed WHERE id % 4 = 0)")
+@query("feed_saved_sections", f"WITH {TIMED_SQL} SELECT id, section, row_number() OVER (PARTITION BY section ORDER BY eff_start, pos) AS place FROM (SELECT *, CASE WHEN eff_start <= {TS} AND eff_end <= {TS} THEN 'past' ELSE 'upcoming' END AS section FROM timed WHERE category IN ('music', 'food'))")
 def feed_saved_sections(spark, sf_dir):
     """Saved events in sections."""
     own = timed(spark, sf_dir)
-    saved = feed.only_ids(own, own.filter("id % 4 = 0")).withColumn("section", F.when(tw.is_past(now_column()), "past").otherwise("upcoming"))
+    saved = feed.only_ids(own, own.filter("category IN ('music', 'food')")).withColumn("section", F.when(tw.is_past(now_column()), "past").otherwise("upcoming"))
     return saved.select("id", "section", F.row_number().over(Window.partitionBy("section").orderBy("eff_start", "pos")).alias("place"))
 
-
-def _whole(name: str, *cuts: str) -> str:
-    """The SQL of a query on a subset of the feed, over the whole feed."""
-    sql = ORACLE_SQL[name]
-    for cut in cuts:
-        sql = sql.replace(cut, "")
-    return sql
-
-
-@query("feed_diversify_whole", _whole("feed_diversify", " WHERE id % 40 = 1"))
-def feed_diversify_whole(spark, sf_dir):
-    """W2 over the whole feed."""
-    return feed.diversify(feed_events(spark, sf_dir), target=120).select("id")
-
-
-@query("feed_balance_sources_whole", _whole("feed_balance_sources", " WHERE id % 3 = 0", " AND id < 3000"))
-def feed_balance_sources_whole(spark, sf_dir):
-    """W3 over the whole feed."""
-    pool = timed(spark, sf_dir)
-    return feed.balance(pool.filter("source IN ('ticketmaster', 'meetup')"), pool, "source").select("id", "pos")
-
-
-@query("feed_balance_categories_whole", _whole("feed_balance_categories", " WHERE id % 3 = 0", " AND id < 3000"))
-def feed_balance_categories_whole(spark, sf_dir):
-    """W4 over the whole feed."""
-    pool = timed(spark, sf_dir)
-    return feed.balance(pool.filter("category IN ('nightlife', 'outdoors')"), pool, "category", 3).select("id", "pos")
-
-
-@query("feed_widen_whole", _whole("feed_widen", " WHERE id % 50 = 1"))
-def feed_widen_whole(spark, sf_dir):
-    """L6, W6 over the whole feed."""
-    near = feed_events(spark, sf_dir).withColumn("distance", geo.haversine_miles(F.lit(ORIGIN[0] + 0.2), F.lit(ORIGIN[1]), F.col("lat"), F.col("lng")))
-    return feed.widen(near, 5.0).select("id", "tier")
-
-
-@query("feed_rows_whole", _whole("feed_rows", " WHERE id % 10 = 0"))
-def feed_rows_whole(spark, sf_dir):
-    """G8 over the whole feed."""
-    return feed.discovery_rows(with_distance(timed(spark, sf_dir)), now_column(), GOALS, hidden=["goal-live-music"])

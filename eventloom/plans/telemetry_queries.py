@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from eventloom.functions import classify as cl
 from eventloom.functions import score
 from eventloom.functions import timewin as tw
-from eventloom.operators import feed, maintain, telemetry
+from eventloom.operators import feed, maintain, scans, telemetry
 from eventloom.plans.content_queries import _BRANDS, _THEATRES, _any_language, _chain
-from eventloom.plans.feed_queries import TS, now_column
-from eventloom.plans.views import FEED_SQL, RUNS_SQL, VENUES_SQL, feed_events, runs, table, venues
+from eventloom.plans.feed_queries import TIMED_SQL, TS, now_column, timed
+from eventloom.plans.views import FEED_SQL, ORIGIN, RUNS_SQL, VENUES_SQL, feed_events, runs, table, venues
 from eventloom.sources import tables
 from eventloom.streaming import state
 
@@ -65,7 +65,7 @@ _OK = f"phase = 'discover' AND status IN ('ok', 'partial') AND started_at > {TS}
 
 @query("telemetry_cooldown", f"WITH {RUNS_SQL} SELECT NOT EXISTS (SELECT 1 FROM runs WHERE user_id = 7 AND {_OK}) AS user_allowed, EXISTS (SELECT 1 FROM runs WHERE geohash = 'cell4' AND events_persisted > 0 AND {_OK}) AS cell_fresh, (SELECT max(started_at) FROM runs WHERE geohash = 'cell4' AND phase = 'discover') AS last_run_at")
 def telemetry_cooldown(spark, sf_dir):
-    """A5, J4, T3, S5."""
+    """A5, J4, T3."""
     return telemetry.cooldown(_runs(spark, sf_dir), "cell4", 7, now_column())
 
 
@@ -76,17 +76,17 @@ def telemetry_rate_window(spark, sf_dir):
     return telemetry.calls_in_window(calls).select("id", "calls")
 
 
-@query("telemetry_category_hint", f"WITH {FEED_SQL}, c AS (SELECT category, count(*) AS n FROM feed WHERE id % 3 = 0 GROUP BY category), o AS (SELECT unnest({telemetry.HINT_ORDER}) AS category, generate_subscripts({telemetry.HINT_ORDER}, 1) AS k), j AS (SELECT o.*, coalesce(n, 0) AS n, (SELECT sum(n) FROM c) AS total FROM o LEFT JOIN c USING (category)) SELECT string_agg(category, ',' ORDER BY k) FILTER (n >= greatest(2, total * 0.15)) AS well_covered, string_agg(category, ',' ORDER BY k) FILTER (n < 2) AS under_represented FROM j")
+@query("telemetry_category_hint", f"WITH {FEED_SQL}, c AS (SELECT category, count(*) AS n FROM feed GROUP BY category), o AS (SELECT unnest({telemetry.HINT_ORDER}) AS category, generate_subscripts({telemetry.HINT_ORDER}, 1) AS k), j AS (SELECT o.*, coalesce(n, 0) AS n, (SELECT sum(n) FROM c) AS total FROM o LEFT JOIN c USING (category)) SELECT coalesce(string_agg(category, ',' ORDER BY k) FILTER (n >= greatest(2, total * 0.15)), '') AS well_covered, coalesce(string_agg(category, ',' ORDER BY k) FILTER (n < 2), '') AS under_represented FROM j")
 def telemetry_category_hint(spark, sf_dir):
     """A7."""
-    found = telemetry.category_hint(feed_events(spark, sf_dir).filter("id % 3 = 0"))
+    found = telemetry.category_hint(feed_events(spark, sf_dir))
     return found.select(F.array_join("well_covered", ",").alias("well_covered"), F.array_join("under_represented", ",").alias("under_represented"))
 
 
-@query("telemetry_dominant", f"WITH {FEED_SQL} SELECT source, count(*) AS n FROM feed WHERE id % 7 < 3 GROUP BY source ORDER BY n DESC, min(pos) LIMIT 1")
+@query("telemetry_dominant", f"WITH {FEED_SQL} SELECT source, count(*) AS n FROM feed GROUP BY source ORDER BY n DESC, min(pos) LIMIT 1")
 def telemetry_dominant(spark, sf_dir):
     """A8."""
-    return telemetry.dominant(feed_events(spark, sf_dir).filter("id % 7 < 3"), "source")
+    return telemetry.dominant(feed_events(spark, sf_dir), "source")
 
 
 @query("telemetry_sources", f"WITH {FEED_SQL} SELECT source, count(*) AS events FROM feed GROUP BY source")
@@ -109,22 +109,23 @@ def telemetry_run_cost(spark, sf_dir):
     return table(spark, sf_dir, "events").select(i.alias("id"), F.round(score.run_cost("large", i, i % 300, i % 50, i % 5), 8).alias("cost"))
 
 
-_BATCH = "SELECT source, source_id, max(id) AS id FROM feed WHERE id % 3 = 0 GROUP BY source, source_id"
+_BATCH = "SELECT source, source_id, max(id) AS id FROM feed WHERE category <> 'arts' GROUP BY source, source_id"
 
 
-@query("upsert_events", f"WITH {FEED_SQL}, base AS (SELECT source, source_id, min(id) AS id, 'old' AS title, 1 AS kept FROM feed WHERE id % 2 = 0 GROUP BY source, source_id), batch AS ({_BATCH}) SELECT coalesce(b.source, n.source) AS source, coalesce(b.source_id, n.source_id) AS source_id, coalesce(n.id, b.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'new' ELSE b.title END AS title, b.kept FROM base b FULL OUTER JOIN batch n ON b.source = n.source AND b.source_id = n.source_id")
+@query("upsert_events", f"WITH {FEED_SQL}, base AS (SELECT source, source_id, min(id) AS id, 'old' AS title, 1 AS kept FROM feed WHERE category <> 'movies' GROUP BY source, source_id), batch AS ({_BATCH}) SELECT coalesce(b.source, n.source) AS source, coalesce(b.source_id, n.source_id) AS source_id, coalesce(n.id, b.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'new' ELSE b.title END AS title, b.kept FROM base b FULL OUTER JOIN batch n ON b.source = n.source AND b.source_id = n.source_id")
 def upsert_events(spark, sf_dir):
     """K1-K3, A10: insert or overwrite the supplied columns; the last of repeated keys counts."""
-    own = feed_events(spark, sf_dir).select("source", "source_id", "id")
-    base = feed.first_by(own.filter("id % 2 = 0"), ["source", "source_id"], [F.col("id")]).withColumns({"title": F.lit("old"), "kept": F.lit(1)})
-    return tables.upserted(base, own.filter("id % 3 = 0").withColumn("title", F.lit("new")), ["source", "source_id"], [F.col("id")])
+    own = feed_events(spark, sf_dir).select("source", "source_id", "id", "category")
+    base = feed.first_by(own.filter("category <> 'movies'"), ["source", "source_id"], [F.col("id")]).drop("category").withColumns({"title": F.lit("old"), "kept": F.lit(1)})
+    return tables.upserted(base, own.filter("category <> 'arts'").drop("category").withColumn("title", F.lit("new")), ["source", "source_id"], [F.col("id")])
 
 
-@query("union_sources", f"WITH {FEED_SQL} SELECT id, k FROM (SELECT id, k, row_number() OVER (PARTITION BY source, source_id ORDER BY k, pos) AS nth FROM (SELECT *, 0 AS k FROM feed WHERE id % 4 = 1 UNION ALL SELECT *, 1 FROM feed WHERE id % 3 = 1 UNION ALL SELECT *, 2 FROM feed WHERE id % 5 = 1) WHERE start_time IS NOT NULL) WHERE nth = 1")
+@query("union_sources", f"WITH {FEED_SQL} SELECT id, k FROM (SELECT id, k, row_number() OVER (PARTITION BY source, source_id ORDER BY k, pos) AS nth FROM (SELECT *, 0 AS k FROM feed WHERE category IN ('music', 'food', 'arts') UNION ALL SELECT *, 1 FROM feed WHERE category NOT IN ('music', 'food') UNION ALL SELECT *, 2 FROM feed) WHERE start_time IS NOT NULL) WHERE nth = 1")
 def union_sources(spark, sf_dir):
     """Batches in fixed order, the first of every key."""
     own = feed_events(spark, sf_dir)
-    parts = [own.filter(f"id % {n} = 1").withColumn("k", F.lit(k)) for k, n in enumerate((4, 3, 5))]
+    lists = ("category IN ('music', 'food', 'arts')", "category NOT IN ('music', 'food')", "true")
+    parts = [own.filter(of).withColumn("k", F.lit(k)) for k, of in enumerate(lists)]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("start_time IS NOT NULL")
     return feed.first_by(whole, ["source", "source_id"], [F.col("k"), F.col("pos")]).select("id", "k")
 
@@ -189,7 +190,7 @@ SELECT id, CASE category {" ".join(f"WHEN '{k}' THEN {v}" for k, v in score.VENU
   CASE WHEN passed > 0 THEN least(100, 55 + least(25, 6 * passed) + CASE WHEN found = passed THEN 5 ELSE 0 END) WHEN found > 0 THEN 35 ELSE 15 END AS quality FROM crawl WHERE website IS NOT NULL""",
 )
 def crawl_scores(spark, sf_dir):
-    """F19, J7, L9, S6, S7, X58-X60."""
+    """S6, X58-X60."""
     i = F.col("id")
     own = venues(spark, sf_dir).filter("website IS NOT NULL")
     outcome = F.get(F.array(*map(F.lit, ["ok", "unchanged", "error", "empty"])), (i % 4).cast("int"))
@@ -219,7 +220,7 @@ def stream_crawl_health(spark, sf_dir):
 
 @query("stream_sync_cooldown", "WITH s AS (SELECT event_id AS id, 'g' || CAST(user_id % 30 AS VARCHAR) AS grid_key, CAST(ts AS TIMESTAMP) AS t, event_id % 25 AS event_count, lag(CAST(ts AS TIMESTAMP)) OVER w AS last_at, lag(event_id % 25) OVER w AS last_count FROM events WINDOW w AS (PARTITION BY user_id % 30 ORDER BY CAST(ts AS TIMESTAMP), event_id)) SELECT id, coalesce((last_count >= 20 AND t < last_at + INTERVAL 2 HOUR) OR (last_count BETWEEN 1 AND 19 AND t < last_at + INTERVAL 15 MINUTE), false) AS cooling FROM s")
 def stream_sync_cooldown(spark, sf_dir):
-    """Whether a cell still rests after its last sync."""
+    """Whether a cell still rests after its last sync."""
     own = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("g"), (F.col("user_id") % 30).cast("string")).alias("grid_key"), F.col("ts").cast("timestamp").alias("synced_at"), (F.col("event_id") % 25).alias("event_count"))
     return state.with_cooldown(own).select("id", "cooling")
 
@@ -236,14 +237,60 @@ def stream_sessions(spark, sf_dir):
     return state.refresh_states(actions)
 
 
-@query("telemetry_category_hint_whole")
-def telemetry_category_hint_whole(spark, sf_dir):
-    """A7 over the whole feed; no category is the empty text, for which the SQL has null."""
-    found = telemetry.category_hint(feed_events(spark, sf_dir))
-    return found.select(F.array_join("well_covered", ",").alias("well_covered"), F.array_join("under_represented", ",").alias("under_represented"))
+_HEALTH = f"""
+placed AS (SELECT *, {ORIGIN[0]}::DOUBLE + (id % 11 - 5) * 0.02::DOUBLE AS lat, {ORIGIN[1]}::DOUBLE + (id % 7 - 3) * 0.01::DOUBLE AS lng FROM venues WHERE website IS NOT NULL),
+health AS (SELECT id AS venue_id, id % 3 AS total_events_passed, (id % 5) * 20.0::DOUBLE AS avg_quality_score, id % 6 AS consecutive_empty, id % 4 AS consecutive_errors,
+  CASE WHEN id % 10 <> 1 THEN {TS} + INTERVAL 1 HOUR * (id % 5 - 3) END AS next_scan_at FROM venues WHERE id % 9 <> 0)"""
 
 
-@query("telemetry_dominant_whole", ORACLE_SQL["telemetry_dominant"].replace(" WHERE id % 7 < 3", ""))
-def telemetry_dominant_whole(spark, sf_dir):
-    """A8 over the whole feed."""
-    return telemetry.dominant(feed_events(spark, sf_dir), "source")
+def _health(spark, sf_dir):
+    """Places with websites and coordinates, and the scan health of most of them."""
+    own, i = venues(spark, sf_dir), F.col("id")
+    placed = own.filter("website IS NOT NULL").withColumns({"lat": F.lit(ORIGIN[0]) + (i % 11 - 5) * F.lit(0.02), "lng": F.lit(ORIGIN[1]) + (i % 7 - 3) * F.lit(0.01)})
+    health = own.filter("id % 9 <> 0").select(
+        i.alias("venue_id"), (i % 3).alias("total_events_passed"), (i % 5 * F.lit(20.0)).alias("avg_quality_score"), (i % 6).alias("consecutive_empty"), (i % 4).alias("consecutive_errors"),
+        F.when(i % 10 != 1, now_column() + F.expr("INTERVAL '1' HOUR") * (i % 5 - 3)).alias("next_scan_at"),
+    )
+    return placed, health
+
+
+@query(
+    "scan_due",
+    f"""WITH {VENUES_SQL}, {_HEALTH}, bad AS (SELECT id FROM venues WHERE regexp_matches(name, '\\b(?:{_BRANDS})\\b', 'i') OR {_any_language('name')} OR (regexp_matches(name, '\\b[a-z]{{3,}}\\s+cabaret\\b', 'i') AND lower(name) NOT IN ({_THEATRES})))
+SELECT id, round(CASE category {" ".join(f"WHEN '{k}' THEN {v}" for k, v in score.VENUE_POINTS.items())} ELSE 4 END + CASE WHEN regexp_matches(lower(website), '{score.EVENT_SITE}') THEN 16 ELSE 0 END
+  + CASE WHEN venue_id IS NULL THEN 8 ELSE least(35, 3 * total_events_passed) + least(25.0::DOUBLE, avg_quality_score / 3) - least(40, 10 * consecutive_empty) - least(45, 15 * consecutive_errors) END, 6) AS priority
+FROM placed p LEFT JOIN health h ON p.id = h.venue_id
+WHERE p.id NOT IN (SELECT id FROM bad) AND abs(lat - {ORIGIN[0]}) < 5.0 / 69 AND abs(lng - {ORIGIN[1]}) < 5.0 / 69 AND (next_scan_at IS NULL OR next_scan_at <= {TS})
+ORDER BY priority DESC, id LIMIT 18""",
+)
+def scan_due(spark, sf_dir):
+    """Places due for a scan, best first, within the budget (18 where fast sources gave forty events)."""
+    placed, health = _health(spark, sf_dir)
+    return scans.due(placed, health, ORIGIN, 5.0, now_column(), scans.budget(fast_events=45, thin=False)).select("id", F.round("priority", 6).alias("priority"))
+
+
+@query("sync_latest", "SELECT event_id AS id FROM events WHERE user_id % 30 = 3 OR event_id % 20 = 4 ORDER BY CAST(ts AS TIMESTAMP) DESC, event_id DESC LIMIT 1")
+def sync_latest(spark, sf_dir):
+    """The newest sync of a cell by geohash or grid key."""
+    i = F.col("event_id")
+    syncs = table(spark, sf_dir, "events").select(i.alias("id"), F.concat(F.lit("g"), (F.col("user_id") % 30).cast("string")).alias("grid_key"), F.concat(F.lit("cell"), (i % 20).cast("string")).alias("geohash"), F.col("ts").cast("timestamp").alias("synced_at"))
+    return scans.latest_sync(syncs, "cell4", "g3").select("id")
+
+
+@query("maintain_rate_limits", f"SELECT event_id AS id FROM events WHERE CAST(ts AS TIMESTAMP) >= {TS} - INTERVAL 1 HOUR")
+def maintain_rate_limits(spark, sf_dir):
+    """Calls that the purge leaves."""
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("called_at"))
+    return maintain.recent_calls(calls, now_column()).select("id")
+
+
+@query(
+    "reminders_reconciled",
+    f"""WITH {TIMED_SQL}, saved AS (SELECT * FROM timed WHERE category IN ('music', 'food')), planned AS (SELECT id FROM timed WHERE category IN ('food', 'arts'))
+SELECT id, 'cancel' AS action FROM planned WHERE id NOT IN (SELECT id FROM saved) UNION ALL SELECT id, 'schedule' FROM saved WHERE id NOT IN (SELECT id FROM planned) AND eff_start > {TS}""",
+)
+def reminders_reconciled(spark, sf_dir):
+    """Reminders to cancel and to schedule."""
+    own = timed(spark, sf_dir)
+    saved, planned = own.filter("category IN ('music', 'food')"), own.filter("category IN ('food', 'arts')").select("id")
+    return feed.reconciled_reminders(saved, planned, now_column())

@@ -27,22 +27,28 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [In(event_id, [7,42,100])]" in plan
 
 
-#: What the queries on a subset of the feed leave out, and no query on the whole feed may.
-CUTS = [" WHERE id % 40 = 1", " WHERE id % 3 = 0", " AND id < 3000", " WHERE id % 50 = 1", " WHERE id % 10 = 0", " WHERE id % 7 < 3"]
-WHOLE = ["feed_diversify", "feed_balance_sources", "feed_balance_categories", "feed_widen", "feed_rows", "telemetry_dominant"]
+@pytest.mark.parametrize("rows", [0, 1, 1000])
+def test_numbered_counts_on_across_ranges(spark, rows):
+    from pyspark.sql import functions as F
 
+    from eventloom.operators import feed
 
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_feed(spark, name):
-    sql = catalog.ORACLE_SQL[f"{name}_whole"]
-    assert sql != catalog.ORACLE_SQL[name] and not any(cut in sql for cut in CUTS)
-    same_rows(catalog.QUERIES[f"{name}_whole"](spark, SF), duck(), sql)
+    own = spark.range(rows).select((F.col("id") * 7919 % 1009).alias("k"), "id")
+    found = feed.numbered(own, [F.col("k").desc(), F.col("id")], "n").collect()
+    wanted = sorted(((r["k"], r["id"]) for r in found), key=lambda r: (-r[0], r[1]))
+    assert len(found) == rows and {(r["k"], r["id"]): r["n"] for r in found} == {r: n for n, r in enumerate(wanted, 1)}
 
 
-def test_whole_category_hint(spark):
-    sql = catalog.ORACLE_SQL["telemetry_category_hint"].replace(" WHERE id % 3 = 0", "")
-    sql = f"SELECT coalesce(well_covered, '') AS well_covered, coalesce(under_represented, '') AS under_represented FROM ({sql})"
-    same_rows(catalog.QUERIES["telemetry_category_hint_whole"](spark, SF), duck(), sql)
+def test_scan_budget_and_health_without_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from eventloom.operators import scans
+
+    assert [scans.budget(n, thin) for n, thin in ((0, True), (99, True), (0, False), (19, False), (20, False), (39, False), (40, False))] == [45, 45, 40, 40, 28, 28, 18]
+    venues = spark.createDataFrame([(1, "Hall", "bar", None, 26.0, -80.0), (2, "Hall", "bar", None, 26.0, -80.0), (3, "Hall", "bar", None, 26.0, -80.0), (4, None, None, None, None, None)], "id long, name string, category string, website string, lat double, lng double")
+    health = spark.createDataFrame([(2, None, None, None, None, None), (3, 1, 0.0, 0, 0, "2030-01-01 00:00:00")], "venue_id long, total_events_passed long, avg_quality_score double, consecutive_empty long, consecutive_errors long, next_scan_at string")
+    found = scans.due(venues, health.withColumn("next_scan_at", F.col("next_scan_at").cast("timestamp")), (26.0, -80.0), 5.0, F.lit("2024-01-01 00:00:00").cast("timestamp"), 9)
+    assert [(r["id"], r["priority"]) for r in found.collect()] == [(1, 34.0), (2, 26.0)]
 
 
 def test_whole_spatial_join(spark):
@@ -57,7 +63,7 @@ def test_whole_spatial_join(spark):
 
     own = feed_events(spark, SF)
     points, places = ([tuple(r) for r in df.select("id", "lat", "lng").collect()] for df in (own, own.filter("source = 'university'")))
-    found = {(r["id"], r["place_id"]): r["miles"] for r in catalog.QUERIES["geo_spatial_join_whole"](spark, SF).collect()}
+    found = {(r["id"], r["place_id"]): r["miles"] for r in catalog.QUERIES["geo_spatial_join"](spark, SF).collect()}
     wanted = {(a[0], b[0]): miles(a, b) for a in points for b in places if None not in (*a, *b) and miles(a, b) <= 2}
     assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 1e-5 for k in wanted)
 
