@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import geo, score
@@ -36,3 +36,15 @@ def due(venues: DataFrame, health: DataFrame, origin: tuple[float, float], miles
 def latest_sync(syncs: DataFrame, geohash: str, grid_key: str) -> DataFrame:
     """The newest sync of a cell, known by either key; the larger id of two at once."""
     return syncs.filter((F.col("geohash") == geohash) | (F.col("grid_key") == grid_key)).orderBy(F.col("synced_at").desc(), F.col("id").desc()).limit(1)
+
+
+def unchanged_pages(scans: DataFrame) -> DataFrame:
+    """Scans (venue_id, seq, page_hash, outcome, found, passed) whose page is the one read last: outcome ``unchanged``, nothing found.
+
+    The page read last is the newest with a hash before this scan; a scan without a hash keeps its outcome.
+    """
+    before = Window.partitionBy("venue_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.coalesce(F.col("page_hash") == F.last("page_hash", ignorenulls=True).over(before), F.lit(False))
+    own = scans.withColumn("__same", same & (F.col("outcome") != "error"))
+    none = lambda c: F.when(F.col("__same"), F.lit(0)).otherwise(F.col(c))
+    return own.withColumns({"outcome": F.when(F.col("__same"), "unchanged").otherwise(F.col("outcome")), "found": none("found"), "passed": none("passed")}).drop("__same")
