@@ -223,6 +223,36 @@ def test_quality_measures(spark, docs):
     assert quality_rules.clean_text("home | news | sport | about\nGood text.\n") == "Good text.\n"
 
 
+def test_quality_verdicts_against_plain_rules(spark, docs):
+    """``kept`` of whole texts, each line judged by every rule in turn."""
+
+    def failing(line, words):
+        marks = sum(line.count(x) for x in quality_rules.SEPARATORS)
+        if marks >= 3 and marks / len(words) >= 0.2:
+            return True
+        if any(x in line.lower() for x in quality_rules.BOILERPLATE):
+            return True
+        if len(words) >= 3 and sum(any(w.endswith(x) for x in quality_rules.SYMBOL_ENDS) for w in words) / len(words) > 0.5:
+            return True
+        return len(words) >= 8 and line.upper() == line != line.lower() and not any(words[-1].endswith(x) for x in quality_rules.SENTENCE_ENDS)
+
+    def plain(text):
+        lines = [(x, w) for x in (text or "").split("\n") if (w := re.findall(r"[^\x20\x09-\x0D]+", x))]
+        return sum(len(w) for x, w in lines if failing(x, w))
+
+    good = "".join(" ".join(f"word{i}x{j}" for j in range(8)) + ".\n" for i in range(12))  # no window of three words twice
+    junk = ["a | b | c | d\n", "Alle Rechte vorbehalten\n", "buy now!! today!! cheap!!\n", "THIS LINE HAS EIGHT WORDS AND NO END\n", "THIS LINE HAS EIGHT WORDS AND AN END.\n", "wow!! calm words\n"]
+    made = [good + junk[i % 6] * (i // 6 + 1) for i in range(60)] + [None, "", "\n \n", good * 2]
+    texts = dict(docs) | {-1 - i: t for i, t in enumerate(made)}
+    found = quality_rules.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        lost = plain(texts[r["doc_id"]])
+        assert r["lost_words"] == lost
+        assert r["kept"] == (not r["base_failed"] and lost <= 0.3 * r["n_words"])
+    assert {r["kept"] for r in found if r["doc_id"] < 0 and not r["base_failed"]} == {True, False}
+
+
 # 5 ---------------------------------------------------------------------------
 
 
@@ -290,6 +320,39 @@ def test_license_in_every_row(spark):
         assert [(r["base_labels"], r["labels"], r["score"]) for r in rows] == [("mit", "mit,mit-notice", 1.0)] * n
 
 
+def test_license_labels_and_scores_against_plain_search(spark, docs):
+    """Every template at every place, with IDF over the same rows."""
+    made = [
+        "This work is licensed under the GNU General Public License version 3.",
+        "gnu general public license, version 2; released under the MIT license",
+        "apache license version 2 0",
+        "version 2 0 apache license apache license version 2 0 licensed under the",
+        "Redistribution and use in source and binary forms are not allowed",
+        "permission is hereby granted, free of charge",
+        "licensed under CC BY 4.0 and licensed under CC BY NC 4.0",
+        "gnu general public licence", "", None,
+    ]
+    texts = dict(docs) | {-1 - i: t for i, t in enumerate(made)}
+    upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(upper)) for i, t in texts.items()}
+    having = Counter(w for own in words.values() for w in set(own))
+    weight = lambda w: math.log((1 + len(texts)) / (1 + having[w])) + 1
+    found = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        own, labels, best = words[r["doc_id"]], set(), 0.0
+        for t in [*licenses.BASE, *licenses.NOTICES]:
+            key, whole = t.key.split(), sum(map(weight, t.words))
+            starts = [i - t.key_at for i in range(len(own)) if own[i : i + len(key)] == key]
+            share = max((sum(weight(w) for j, w in enumerate(t.words) if 0 <= s + j < len(own) and own[s + j] == w) / whole for s in starts), default=0.0)
+            best = max(best, share)
+            if starts and (t.base or share >= 0.5):
+                labels.add(t.label)
+        assert r["labels"] == ",".join(sorted(labels))
+        assert r["score"] == pytest.approx(min(1.0, best))
+    assert len({x for r in found for x in r["labels"].split(",")}) > 8
+
+
 # 8 ---------------------------------------------------------------------------
 
 
