@@ -31,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Per open `passing` block, the paths of the tables kept in it.
 _passing: list[list[str]] = []
 
@@ -43,8 +48,7 @@ def passing(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _passing.pop():
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
 
 
 def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
@@ -57,6 +61,13 @@ def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of kept tables that nothing reads any more."""
+    for table in tables:
+        for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            _delete(table.sparkSession, path)
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of every key; rows with a null key never meet another."""
     known = F.lit(True)
