@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import (
+    ball_kmeans,
+    decontamination,
+    divergence,
     exact_dedup,
     language_id,
     licenses,
@@ -81,6 +84,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_count": op1_token_count,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -92,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 
@@ -160,8 +180,105 @@ WITH digests AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM digests JOIN groups USING (text_sha256)
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+') AS terms
+  FROM documents
+), places AS (
+  SELECT nr, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS lang_n FROM places GROUP BY lang, term HAVING count(DISTINCT nr) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS lang_size FROM kept GROUP BY lang
+), counted AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM places GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), sizes AS (
+  SELECT lang, source, sum(n) AS size FROM dense GROUP BY lang, source
+), shares AS (
+  SELECT d.lang, d.source, d.term, d.n, 1 + CAST(1000000000 AS HUGEINT) * (d.n + 1) // (s.size + l.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (d.lang_n + 1) // (l.lang_size + l.v) AS q
+  FROM dense d JOIN sizes s USING (lang, source) JOIN langs l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Each round as two more CTEs: every vector with every centroid, then the means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near{r} AS MATERIALIZED (
+  SELECT nr, CAST(min_by(c, (distance, c)) AS INTEGER) AS c, min(distance) AS distance
+  FROM (SELECT x.nr, m.c, CAST(sum((x.v - m.v) * (x.v - m.v)) AS BIGINT) AS distance FROM whole x JOIN mean{r} m USING (d) GROUP BY x.nr, m.c) GROUP BY nr
+)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r + 1} AS MATERIALIZED (
+  SELECT m.c, m.d, coalesce(f.v, m.v) AS v FROM mean{r} m
+  LEFT JOIN (SELECT n.c, x.d, CAST(floor(CAST(sum(x.v) AS DECIMAL(38, 0)) / count(*)) AS BIGINT) AS v FROM near{r} n JOIN whole x USING (nr) GROUP BY n.c, x.d) f USING (c, d)
+)"""
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS nr, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+), whole AS MATERIALIZED (
+  SELECT nr, d, CAST(floor(1024 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS v FROM kept, range(1, 65) t(d)
+), starts AS (
+  SELECT nr, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE)))) - 1 AS c FROM kept QUALIFY c < 8
+), mean0 AS MATERIALIZED (
+  SELECT s.c, x.d, x.v FROM starts s JOIN whole x USING (nr)
+), {", ".join(steps)}, named AS (
+  SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM mean{rounds} GROUP BY c
+)
+SELECT k.vec_id, n.c AS cluster, n.distance, CAST(sum(n.distance) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia, CAST(sum(n.distance) OVER () AS BIGINT) AS inertia, m.centroid_sha256
+FROM near{rounds} n JOIN kept k USING (nr) JOIN named m USING (c)
+"""
+
+
+OP13_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS words FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS words FROM benchmark
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS run
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)
+), places AS (
+  SELECT nr, i, n, array_to_string(words[i : i + n - 1], ' ') AS run
+  FROM (SELECT nr, words, unnest(range(1, len(words) + 1)) AS i FROM docs) JOIN (SELECT DISTINCT n FROM windows) ON i + n - 1 <= len(words)
+), met AS MATERIALIZED (
+  SELECT nr, i, n, item FROM places JOIN windows USING (n, run)
+), hit AS (
+  SELECT nr, count(DISTINCT w) AS n_hit FROM (SELECT nr, unnest(range(i, i + n)) AS w FROM met) GROUP BY nr
+), found AS (
+  SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS listed FROM (SELECT DISTINCT nr, item FROM met) GROUP BY nr
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (nr) LEFT JOIN found USING (nr)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": _op5_sql(),
     "op6_mix_sources": OP6_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_centroid_clusters": _op12_sql(),
+    "op13_benchmark_decontamination": OP13_SQL,
 }
