@@ -27,6 +27,7 @@ Defined cases:
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -199,20 +200,25 @@ def _matched(docs: DataFrame, items: DataFrame, window: int, block_words: int, t
     return docs.withColumn("__found", F.struct(n_words.alias("n_words"), empty.alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest")))
 
 
-#: The automaton that this Python worker built last, by its broadcast.
-_built: dict[int, Automaton] = {}
+#: The automaton that this Python worker built last, by the name of its pass.
+_built: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, sent, window: int) -> Automaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(sent.value, window)
+    return _built[name]
 
 
 def _pass(sent, window: int, at: int, again: bool):
     """One block against all documents; ``again``: the last column holds what earlier blocks found."""
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+    name = uuid.uuid4().hex
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _built:
-            _built.clear()
-            _built[sent.id] = Automaton(sent.value, window)
-        automaton = _built[sent.id]
+        automaton = _automaton(name, sent, window)
         for batch in batches:
             before = batch.column(batch.num_columns - 1).to_pylist() if again else [None] * batch.num_rows
             rows = []

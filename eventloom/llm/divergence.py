@@ -56,7 +56,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def handed_on() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
-            of_group = pa.array([lang]).take(pa.array([0] * len(terms))), pa.array([source]).take(pa.array([0] * len(terms)))
+            of_group = [pa.repeat(pa.scalar(name, pa.string()), len(terms)) for name in (lang, source)]
             counts = [pa.array([c[t] for t in terms], pa.int64()) for c in (n, docs)]
             yield pa.RecordBatch.from_arrays([*of_group, pa.array(terms, pa.binary()).cast(pa.string()), *counts], ["lang", "source", "term", "n", "docs"])
         held.clear()

@@ -183,7 +183,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 OP11_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+') AS terms
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
   FROM documents
 ), places AS (
   SELECT nr, lang, source, unnest(terms) AS term FROM docs
@@ -237,11 +237,11 @@ def _op12_sql(rounds: int = 10) -> str:
     return f"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER () AS nr, vec_id, embedding FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
 ), whole AS MATERIALIZED (
   SELECT nr, d, CAST(floor(1024 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS v FROM kept, range(1, 65) t(d)
 ), starts AS (
-  SELECT nr, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE)))) - 1 AS c FROM kept QUALIFY c < 8
+  SELECT nr, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))) - 1 AS c FROM kept QUALIFY c < 8
 ), mean0 AS MATERIALIZED (
   SELECT s.c, x.d, x.v FROM starts s JOIN whole x USING (nr)
 ), {", ".join(steps)}, named AS (
@@ -254,9 +254,9 @@ FROM near{rounds} n JOIN kept k USING (nr) JOIN named m USING (c)
 
 OP13_SQL = r"""
 WITH docs AS MATERIALIZED (
-  SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS words FROM documents
+  SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), items AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS words FROM benchmark
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
 ), windows AS MATERIALIZED (
   SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS run
   FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)
