@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import timewin as tw
@@ -106,9 +107,44 @@ def test_spatial_join_against_all_pairs(spark):
 
 def test_upsert_files(spark, tmp_path):
     path = str(tmp_path / "t")
-    tables.write_upsert(spark, path, spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"), ["k"])
-    tables.write_upsert(spark, path, spark.createDataFrame([(1, "b"), (2, "c"), (None, "n")], "k int, v string"), ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=repr) == sorted([(1, "b"), (2, "c"), (None, "n"), (None, "n")], key=repr)
+    assert tables.write_upsert(spark, path, spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"), ["k"]) == 1
+    old = tables.read_version(spark, path)
+    assert tables.write_upsert(spark, path, spark.createDataFrame([(1, "b"), (2, "c"), (None, "n")], "k int, v string"), ["k"]) == 2
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    wanted = sorted([(1, "b"), (2, "c"), (None, "n"), (None, "n")], key=repr)
+    assert rows(tables.read_version(spark, path)) == wanted
+    assert rows(old) == rows(tables.read_version(spark, path, 1)) == sorted([(1, "a"), (None, "n")], key=repr)  # a reader keeps the version that it opened
+    tables.vacuum(spark, path, 1)
+    assert rows(tables.read_version(spark, path)) == wanted and tables.current_version(spark, path) == 2
+
+
+def test_a_writer_that_stops_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    rows = lambda: sorted(map(tuple, tables.read_version(spark, path).collect()))
+    tables.write_upsert(spark, path, frame((1, "a")), ["k"])
+    # Stopped after its files were written, before the commit.
+    frame((1, "lost")).write.parquet(f"{path}/v2-unfinished")
+    assert rows() == [(1, "a")] and tables.current_version(spark, path) == 1
+    # Stopped within the write: a task fails after other tasks wrote.
+    broken = spark.range(0, 100, 1, 10).selectExpr("CAST(id AS INT) AS k", "CASE WHEN id = 95 THEN raise_error('stopped') ELSE 'x' END AS v")
+    with pytest.raises(Exception, match="stopped"):
+        tables.write_upsert(spark, path, broken, ["k"])
+    assert rows() == [(1, "a")]
+    assert tables.write_upsert(spark, path, frame((2, "b")), ["k"]) == 2 and rows() == [(1, "a"), (2, "b")]
+    tables.vacuum(spark, path)
+    assert not tables.exists(spark, f"{path}/v2-unfinished") and rows() == [(1, "a"), (2, "b")]
+
+
+def test_the_slower_of_two_writers_meets_the_faster_ones_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    tables.write_upsert(spark, path, frame((1, "a")), ["k"])
+    tables.commit_version(path, frame((1, "a"), (2, "faster")), 1)
+    with pytest.raises(tables.Conflict):
+        tables.commit_version(path, frame((1, "slower")), 1)
+    assert tables.write_upsert(spark, path, frame((3, "slower")), ["k"]) == 3
+    assert sorted(map(tuple, tables.read_version(spark, path).collect())) == [(1, "a"), (2, "faster"), (3, "slower")]
 
 
 def test_streak(spark):
