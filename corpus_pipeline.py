@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from eventloom.llm.common import keep
+from eventloom.llm.common import arrow_rows, discard, keep, passing
 from eventloom.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or too short to tell languages apart, go."""
-    # Texts may be long: fewer at a time for Python. What this returns runs after this function.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return language_id.keep_languages(docs, language_id.train(docs))
+    # Texts may be long: fewer at a time for Python, in this write only.
+    with arrow_rows(spark, 1_000):
+        return keep(language_id.keep_languages(docs, language_id.train(docs)), "known-language")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; what stages and their operators wrote on the way is deleted."""
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing(spark):
+            done = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"), lasting=True)
+        if docs is not given:
+            discard(docs)
+        docs = done
     return docs

@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.sources.tables import discard, keep, passing, shared_dir
+from eventloom.sources.tables import delete, discard, exists, keep, passing, shared_dir
 
-__all__ = ["BLANKS", "WORDS", "arrow_rows", "discard", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
+__all__ = ["BLANKS", "WORDS", "arrow_rows", "delete", "discard", "exists", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
 
 #: White space and words of the digest contracts: ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"

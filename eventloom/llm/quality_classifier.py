@@ -194,15 +194,22 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> LineField:
-    """Fit on a hash sample of about ``sample_docs`` labelled documents."""
+    """Fit on a hash sample of about ``sample_docs`` labelled documents.
+
+    Documents are drawn by id and text, and equal pairs are one document, so neither
+    repeated rows nor an id with many texts pass the bound of the sample.
+    """
     learnable = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("quality"))
     )
-    there = learnable.count()
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = learnable.filter(drawn < float(sample_docs) / max(1, there))
+    # Only id and text of the documents: a column of theirs may be called quality.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    by_text = F.xxhash64("doc_id", "text")
+    there = texts.select("doc_id", by_text.alias("pair")).join(learnable, "doc_id").select("pair").distinct().count()
+    drawn = F.pmod(by_text, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = texts.filter(drawn < float(sample_docs) / max(1, there)).join(learnable, "doc_id").select("doc_id", "quality", "text").distinct()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> LineFi
                 names=["quality", "features", "words"],
             )
 
-    # Only id and text of the documents: a column of theirs may be called quality.
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("quality", "text")
-    found = texts.mapInArrow(rows, "quality int, features array<double>, words array<double>").toPandas()
+    found = sample.select("quality", "text").mapInArrow(rows, "quality int, features array<double>, words array<double>").toPandas()
     # In a fixed order, so that the same rows give the same sums.
     chains = sorted(((np.array(f).reshape(-1, FEATURES), np.array(n), q) for q, f, n in found.itertuples(index=False)), key=lambda d: (d[2], len(d[1]), d[0].tobytes()))
     return fit([(f, n) for f, n, _ in chains], np.array([q for _, _, q in chains], float))

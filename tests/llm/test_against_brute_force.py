@@ -424,6 +424,35 @@ def test_index_persists_between_batches(spark):
         index.drop()
 
 
+def test_a_batch_fed_twice_is_answered_as_before(spark, tmp_path):
+    """Also by another index object that knows only the path, and after a failure before the manifest was written."""
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string, digest string")
+    first, second = frame((1, "a b", "x"), (2, "a  b", "x"), (3, "c", "x"), (3, "c", "x"), (None, "c", "x")), frame((0, "c", "x"), (5, "new", "x"))
+    answers = lambda docs, index: sorted((tuple(r) for r in exact_dedup.resolve(docs, index).collect()), key=repr)
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    told = answers(first, index), answers(second, index)
+    assert (answers(first, index), answers(second, index)) == told
+    assert [r["doc_id"] for r in exact_dedup.deduplicate(second, index).collect()] == [5]
+    assert exact_dedup.deduplicate(first, index).filter("doc_id = 3").count() == 1
+    # As another session finds it: the files only.
+    spark.sql(f"DROP TABLE {index._table(4)}")
+    again = exact_dedup.DigestIndex(spark, path)
+    assert (answers(first, again), answers(second, again)) == told and len(again.batches()) == 2 and again.rows().count() == 3
+    exact_dedup.deduplicate(frame((9, "third", "x")), again)
+    assert again.rows().count() == 4
+    # An append whose batch never reached the manifest has no effect.
+    lost = exact_dedup.DigestIndex(spark, str(tmp_path / "lost"), 4)
+    answers(first, lost)
+    exact_dedup.delete(spark, f"{lost.path}/manifest")
+    assert lost.rows().count() == 0 and answers(first, lost) == told[0] and lost.rows().count() == 2
+    # A name given by the caller.
+    assert [r["kept"] for r in exact_dedup.resolve(frame((7, "named", "x")), again, "monday").collect()] == [True] and "monday" in again.batches()
+    for own in (again, lost):
+        own.drop()
+        assert not exact_dedup.exists(spark, own.path)
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_whole_table_through_the_index(spark, edge_docs, batches):
     """In any number of batches the smallest id stays, null ids come last, and the index holds every digest once."""
@@ -446,6 +475,19 @@ def test_whole_table_through_the_index(spark, edge_docs, batches):
 # 10 --------------------------------------------------------------------------
 
 
+def test_the_sample_keeps_its_bound(spark, monkeypatch):
+    """One id thousands of times, with one text or many: neither fills the sample."""
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda docs, labels: seen.append(len(docs)))
+    rows = [(1, "again and again")] * 3000 + [(2, f"text {i}") for i in range(3000)] + [(i, f"doc {i}") for i in range(10, 400)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, i % 2) for i in {r[0] for r in rows}], "doc_id long, quality int")
+    quality_classifier.train(docs, labels, sample_docs=60)
+    quality_classifier.train(docs, labels, sample_docs=10**6)
+    learnable = {r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert seen[0] <= 60 + 5 * 60**0.5 and seen[1] == len(learnable)
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(2)
     lengths, transition = np.array([3, 1, 4]), rng.normal(size=(2, 2))
@@ -472,6 +514,17 @@ def test_quality_of_held_out_documents(spark):
 # pipeline --------------------------------------------------------------------
 
 
+def test_pipeline_leaves_settings_and_folders_as_they_were(spark):
+    import os
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    folders = lambda: {d for d in os.listdir(spark.conf.get("spark.checkpoint.dir")) if not d.startswith((".", "_"))}
+    before, there = spark.conf.get(name), folders()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(folders() - there) == 1  # the last stage's rows
+    assert spark.conf.get(name) == before
+
+
 def test_pipeline(spark, docs):
     """Each stage on what its predecessor kept, against the plain versions."""
     found = spark.read.parquet(f"{SF}/documents.parquet")
