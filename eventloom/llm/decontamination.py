@@ -163,8 +163,8 @@ def _words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
-def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[list[bytes], list[str]]]]:
-    """The items' distinct texts with their ids, in blocks of at most 2 * ``block_words`` words."""
+def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[tuple[list[tuple[list[bytes], list[str]]], bool]]:
+    """The items' distinct texts with their ids, in blocks of at most 2 * ``block_words`` words; whether it is the last block."""
     listed = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _words_of(text_of()).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(block_words))
     parts = F.transform(starts, lambda i: F.slice("words", i + 1, block_words + window - 1))
@@ -178,20 +178,21 @@ def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tu
         n *= 2
     for k in range(n):
         texts = placed.filter(F.col("block") == k).groupBy("words").agg(F.collect_set("item").alias("items")).collect()
-        yield [([w.encode() for w in r["words"]], r["items"]) for r in texts]
+        yield [([w.encode() for w in r["words"]], r["items"]) for r in texts], k == n - 1
 
 
-def _matched(docs: DataFrame, items: DataFrame, window: int, block_words: int, text_rows: int) -> DataFrame:
-    """The documents with ``__found``: words, spans, items and longest run over all blocks."""
+def _matched(docs: DataFrame, items: DataFrame, window: int, block_words: int, text_rows: int, with_text: bool) -> DataFrame:
+    """The documents with ``__found``: words, spans, items and longest run over all blocks; the last pass writes the text only if asked."""
     spark = docs.sparkSession
     found_type = T.StructType.fromDDL(_FOUND)
     schema = T.StructType([*docs.schema.fields, T.StructField("__found", found_type)])
     at = docs.columns.index("text")
     blocks = 0
-    for texts in _blocks(items, window, block_words):
+    for texts, last in _blocks(items, window, block_words):
         sent = spark.sparkContext.broadcast(texts)
+        matched = docs.mapInArrow(_pass(sent, window, at, blocks > 0), schema)
         with arrow_rows(spark, text_rows):
-            docs = keep(docs.mapInArrow(_pass(sent, window, at, blocks > 0), schema), "matched")
+            docs = keep(matched if with_text or not last else matched.drop("text"), "matched")
         blocks += 1
     if blocks:
         return docs
@@ -247,7 +248,7 @@ def audit(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int
     items (ids of items with occurring windows), contaminated, longest (matching run of
     any length), spans (of hit words, counted from 0).
     """
-    found = _matched(docs.select("doc_id", "text"), items, window, block_words, text_rows)
+    found = _matched(docs.select("doc_id", "text"), items, window, block_words, text_rows, with_text=False)
     return found.select(
         "doc_id",
         "__found.n_words",
@@ -267,7 +268,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, least_span: int =
     cut out of the text, what stands between their first and last word included;
     documents of which more than ``most_coverage`` of the words are hit are left out.
     """
-    found = _matched(docs, items, window, block_words, text_rows)
+    found = _matched(docs, items, window, block_words, text_rows, with_text=True)
     kept = found.filter(_n_hit() <= F.col("__found.n_words") * most_coverage)
     at = docs.columns.index("text")
 
