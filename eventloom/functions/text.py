@@ -100,6 +100,13 @@ def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?([^/?#:\s]+)", 1)), F.lit(""))
 
 
+def host_and_port(url: Column) -> Column:
+    """Lower-cased host of an http(s) url with its port, unless that is the scheme's own; else null."""
+    whole = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#\s]+)", 1))
+    usual = F.when(url.rlike("(?i)^https:"), F.regexp_replace(whole, ":443$", "")).otherwise(F.regexp_replace(whole, ":80$", ""))
+    return F.nullif(F.regexp_replace(usual, ":$", ""), F.lit(""))
+
+
 # Names and attributions of sources. The name of listings found by a model is our own wording.
 SOURCE_NAMES = {
     "ticketmaster": "Ticketmaster", "google_places": "Google", "municipal": "City website", "community": "Community listing", "reddit": "Local roundup", "claude": "AI listing",

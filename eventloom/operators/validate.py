@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import geo
 from eventloom.functions import timewin as tw
-from eventloom.functions.text import host, without_tags
+from eventloom.functions.text import host_and_port, without_tags
 
 # Categories and bounds.
 CATEGORIES = ["nightlife", "sports", "food", "outdoors", "arts", "music", "community", "movies", "fitness"]
@@ -56,8 +56,8 @@ def schema_detail(now: Column) -> Column:
 
 
 def grounded(url: Column, results: Column) -> Column:
-    """Whether the url's host stands in the search results."""
-    return F.coalesce(F.contains(F.lower(results), host(url)), F.lit(False))
+    """Whether the url's host, with its port, stands in the search results."""
+    return F.coalesce(F.contains(F.lower(results), host_and_port(url)), F.lit(False))
 
 
 def reachable(status: Column, ranged_status: Column) -> Column:
@@ -91,21 +91,24 @@ def content_found(title: Column, venue: Column, html: Column, start: Column, now
     return name & date_found(page, start, now)
 
 
-def geo_sane(lat: Column, lng: Column, origin: tuple[float, float], miles: float) -> Column:
-    return geo.haversine_miles(F.lit(origin[0]), F.lit(origin[1]), lat, lng) <= miles * GEO_SLACK
+def geo_sane(lat: Column, lng: Column, origin: tuple[float | Column, float | Column], miles: float | Column) -> Column:
+    at = [c if isinstance(c, Column) else F.lit(c) for c in (*origin, miles)]
+    return geo.haversine_miles(at[0], at[1], lat, lng) <= at[2] * GEO_SLACK
 
 
-def gate(events: DataFrame, origin: tuple[float, float], miles: float, now: Column) -> DataFrame:
+def gate(events: DataFrame, origin: tuple[float | Column, float | Column], miles: float | Column, now: Column, is_grounded: Column | None = None) -> DataFrame:
     """Add reject_reason and reject_detail; both null for accepted events.
 
-    Needs the event's fields and search_blob, http_status, ranged_status, html.
+    Needs the event's fields and search_blob (unless ``is_grounded`` is given),
+    http_status, ranged_status, html.
     """
+    is_grounded = grounded(F.col("source_url"), F.col("search_blob")) if is_grounded is None else is_grounded
     found = events.withColumn("reject_detail", schema_detail(now))
     reason = (
         F.when(F.col("reject_detail").isNotNull(), "schema")
-        .when(~grounded(F.col("source_url"), F.col("search_blob")), "grounding")
+        .when(~F.coalesce(is_grounded, F.lit(False)), "grounding")
         .when(~F.coalesce(reachable(F.col("http_status"), F.col("ranged_status")), F.lit(False)), "head")
         .when(~F.coalesce(content_found(F.col("title"), F.col("venue_name"), F.col("html"), F.col("start_time"), now), F.lit(False)), "content")
-        .when(~geo_sane(F.col("lat"), F.col("lng"), origin, miles), "geo")
+        .when(~F.coalesce(geo_sane(F.col("lat"), F.col("lng"), origin, miles), F.lit(False)), "geo")
     )
     return found.withColumn("reject_reason", reason)

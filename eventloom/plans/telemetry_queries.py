@@ -207,13 +207,39 @@ def stream_rate_limit(spark, sf_dir):
     return state.rate_limited(calls, most=3, minutes=600)
 
 
-@query("stream_crawl_health")
+# The fold as a recursion over each venue's scans in order.
+_HEALTH_SQL = """
+WITH RECURSIVE scans AS (
+  SELECT user_id % 40 AS venue_id, event_id % 3 * (event_id % 2) AS passed, event_id % 4 AS found, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'no_signal' ELSE 'ok' END AS outcome,
+    CASE WHEN event_id % 11 <> 0 THEN sha1(CAST(event_id // 120 AS VARCHAR)) END AS page_hash, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS nth FROM events
+), quality AS (
+  SELECT *, CASE WHEN passed > 0 THEN least(100, 55 + least(25, 6 * passed) + 10 + CASE WHEN found = passed THEN 5 ELSE 0 END) WHEN found > 0 THEN 35 ELSE 15 END AS q FROM scans
+), health AS (
+  SELECT venue_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS total_passed, CAST(0 AS BIGINT) AS consecutive_empty, CAST(0 AS BIGINT) AS consecutive_errors, CAST(0 AS DOUBLE) AS avg_quality, CAST(0 AS DOUBLE) AS next_hours, CAST(NULL AS VARCHAR) AS page_hash, CAST(0 AS BIGINT) AS last_passed
+  FROM (SELECT DISTINCT venue_id FROM scans)
+  UNION ALL
+  SELECT venue_id, nth, total_passed + p, CASE WHEN p > 0 THEN 0 WHEN outcome = 'error' THEN consecutive_empty ELSE consecutive_empty + 1 END, CASE WHEN outcome = 'error' THEN consecutive_errors + 1 ELSE 0 END,
+    floor((CASE WHEN avg_quality > 0 THEN (avg_quality * (nth - 1) + bq) / nth ELSE bq END) * 100 + 0.5::DOUBLE) / 100,
+    CASE WHEN p > 0 THEN 6 WHEN same AND last_passed > 0 THEN 12 WHEN outcome = 'error' THEN least(168, 6 * pow(2, consecutive_errors)) ELSE least(168, 12 * pow(2, least(consecutive_empty, 4))) END,
+    coalesce(page_hash, last_hash), p
+  FROM (
+    SELECT s.venue_id, s.nth, s.outcome, s.page_hash, h.page_hash AS last_hash, h.total_passed, h.consecutive_empty, h.consecutive_errors, h.avg_quality, h.last_passed,
+      coalesce(s.outcome <> 'error' AND s.page_hash = h.page_hash, false) AS same, CAST(CASE WHEN s.outcome = 'ok' AND NOT coalesce(s.page_hash = h.page_hash, false) THEN s.passed ELSE 0 END AS BIGINT) AS p,
+      CAST(CASE WHEN s.outcome = 'ok' AND NOT coalesce(s.page_hash = h.page_hash, false) THEN s.q ELSE 15 END AS DOUBLE) AS bq
+    FROM health h JOIN quality s ON s.venue_id = h.venue_id AND s.nth = h.nth + 1
+  )
+)
+SELECT venue_id, nth AS total_scans, total_passed, consecutive_empty, consecutive_errors, avg_quality, next_hours, page_hash FROM health QUALIFY row_number() OVER (PARTITION BY venue_id ORDER BY nth DESC) = 1
+"""
+
+
+@query("stream_crawl_health", _HEALTH_SQL)
 def stream_crawl_health(spark, sf_dir):
-    """Crawl state after each venue's scans."""
+    """Crawl state after each venue's scans, changed pages told by their hashes."""
     i = F.col("event_id")
     scans = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 40).alias("venue_id"), i.alias("seq"), F.col("ts").cast("timestamp").alias("scanned_at"), (i % 3 * (i % 2)).cast("int").alias("passed"), (i % 4).cast("int").alias("found"),
-        F.when(i % 11 == 0, "error").when(i % 3 == 0, "unchanged").otherwise("ok").alias("outcome"), F.sha1((i % 50).cast("string").cast("binary")).alias("page_hash"), F.lit("https://v.example.com/events").alias("source_url"),
+        (F.col("user_id") % 40).alias("venue_id"), i.alias("seq"), (i % 3 * (i % 2)).alias("passed"), (i % 4).alias("found"),
+        F.when(i % 11 == 0, "error").when(i % 3 == 0, "no_signal").otherwise("ok").alias("outcome"), F.when(i % 11 != 0, F.sha1(F.floor(i / 120).cast("string").cast("binary"))).alias("page_hash"), F.lit("https://v.example.com/events").alias("source_url"),
     )
     return state.crawl_health(scans)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from eventloom.functions.text import host
+from eventloom.functions.text import host_and_port
 from eventloom.operators.feed import first_by
 
 # Words of links to event pages, and of links that are none.
@@ -58,7 +58,7 @@ def event_pages(pages: DataFrame) -> DataFrame:
     points = F.when(F.regexp_replace("event_url", r"^https?://[^/?#]*|[?#].*$", "").rlike(EVENT_PATH), 6).otherwise(0)
     for w in LINK_WORDS:
         points = points + F.when(F.contains("text", F.lit(w)), 4 if " " in w else 3).otherwise(0)
-    scored = own.filter(host(F.col("event_url")) == host(F.col("url"))).withColumn("score", points).filter("score >= 4")
+    scored = own.filter(host_and_port(F.col("event_url")) == host_and_port(F.col("url"))).withColumn("score", points).filter("score >= 4")
     return first_by(scored, ["page_id"], [F.col("score").desc(), F.col("pos")]).select("page_id", "event_url", "score")
 
 

@@ -3,7 +3,7 @@
 Every rule is one fold over a key's rows in order. The batch forms run the fold
 over a grouped table; :func:`rate_limit_stream` and :func:`crawl_health_stream`
 keep the same state in Structured Streaming, so a restarted query goes on from its
-checkpoint.
+checkpoint. The crawl's state is a value with a time to live in the RocksDB store.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventloom.functions import score
 from eventloom.functions.timewin import hours
@@ -111,9 +112,35 @@ def next_health(before: dict, passed: int, batch_quality: float, outcome: str, p
     }
 
 
+#: What a fold keeps of a venue: the columns of :data:`HEALTH` without the venue, and what the last scan passed.
+_HEALTH_STATE = HEALTH.split(", ", 1)[1] + ", passed long"
+
+
+def after_scan(before: dict, passed: int, quality: float, outcome: str, page_hash: str | None) -> dict:
+    """The state after a scan as it was read: a page with the hash of the one read last is unchanged, whatever was found on it."""
+    if outcome != "error" and page_hash and page_hash == before["page_hash"]:
+        outcome = "unchanged"
+    ok = outcome == "ok"
+    return next_health(before, int(passed) if ok else 0, quality if ok else 15.0, outcome, page_hash or None)
+
+
+def _read_scans(scans: DataFrame) -> DataFrame:
+    """The columns that the fold reads; numbers that are missing count as 0."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    quality = F.coalesce(score.estimated_quality(number("found"), number("passed"), F.coalesce("source_url", F.lit(""))).cast("double"), F.lit(15.0))
+    return scans.select("venue_id", "seq", number("passed").alias("passed"), quality.alias("quality"), F.coalesce("outcome", F.lit("error")).alias("outcome"), F.coalesce("page_hash", F.lit("")).alias("page_hash"))
+
+
+def _row_of(venue: int, state: dict) -> dict:
+    return {"venue_id": venue, **{k: v for k, v in state.items() if k != "passed"}}
+
+
 def crawl_health(scans: DataFrame) -> DataFrame:
-    """Each venue's state after its scans (venue_id, seq, passed, found, outcome, page_hash, source_url)."""
-    own = scans.withColumn("quality", score.estimated_quality(F.col("found"), F.col("passed"), F.col("source_url")).cast("double"))
+    """Each venue's state after its scans (venue_id, seq, passed, found, outcome, page_hash, source_url).
+
+    The outcome is what the scan itself knows (ok, error, or another word for nothing
+    found); whether the page had changed is seen here, by its hash.
+    """
 
     def of_venues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         venue, state, out = None, dict(_START), []
@@ -121,33 +148,55 @@ def crawl_health(scans: DataFrame) -> DataFrame:
             for row in batch.itertuples(index=False):
                 if row.venue_id != venue:
                     if venue is not None:
-                        out.append({"venue_id": venue, **{k: v for k, v in state.items() if k != "passed"}})
+                        out.append(_row_of(venue, state))
                     venue, state = row.venue_id, dict(_START)
-                passed = 0 if row.outcome != "ok" else row.passed
-                state = next_health(state, passed, row.quality if row.outcome == "ok" else 15.0, row.outcome, row.page_hash)
+                state = after_scan(state, row.passed, row.quality, row.outcome, row.page_hash)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in HEALTH.split(", ")])
             out = []
         if venue is not None:
-            yield pd.DataFrame([{"venue_id": venue, **{k: v for k, v in state.items() if k != "passed"}}])
+            yield pd.DataFrame([_row_of(venue, state)])
 
-    ordered = own.select("venue_id", "seq", "passed", "quality", "outcome", "page_hash").repartition("venue_id").sortWithinPartitions("venue_id", "seq")
+    ordered = _read_scans(scans).filter("venue_id IS NOT NULL").repartition("venue_id").sortWithinPartitions("venue_id", "seq")
     return ordered.mapInPandas(of_venues, HEALTH)
 
 
-def crawl_health_stream(scans: DataFrame) -> DataFrame:
-    """The same on a stream: one row of state per venue, emitted after every batch that has it."""
-    fields = "total_scans long, total_passed long, consecutive_empty long, consecutive_errors long, avg_quality double, next_hours double, page_hash string, passed long"
-    own = scans.withColumn("quality", score.estimated_quality(F.col("found"), F.col("passed"), F.col("source_url")).cast("double"))
+class VenueHealth(StatefulProcessor):
+    """One venue's state, forgotten when the venue was not scanned for ``ttl_days``."""
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(_START, state.get, strict=True)) if state.exists else dict(_START)
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            ok = row.outcome == "ok"
-            now = next_health(now, int(row.passed) if ok else 0, row.quality if ok else 15.0, row.outcome, row.page_hash)
-        state.update(tuple(now.values()))
-        yield pd.DataFrame([{"venue_id": key[0], **{k: v for k, v in now.items() if k != "passed"}}])
-
-    return own.groupBy("venue_id").applyInPandasWithState(fold, HEALTH, fields, "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, ttl_days: int) -> None:
+        self.ttl_days = ttl_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.health = handle.getValueState("health", _HEALTH_STATE, self.ttl_days * 86_400_000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = dict(zip(_START_ORDER, self.health.get(), strict=True)) if self.health.exists() else dict(_START)
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            now = after_scan(now, row.passed, row.quality, row.outcome, row.page_hash)
+        self.health.update(tuple(now[k] for k in _START_ORDER))
+        yield pd.DataFrame([_row_of(key[0], now)])
+
+    def close(self) -> None:
+        pass
+
+
+_START_ORDER = [c.split()[0] for c in _HEALTH_STATE.split(", ")]
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def crawl_health_stream(scans: DataFrame, ttl_days: int = 60) -> DataFrame:
+    """The same on a stream of scans: one row of state per venue, emitted after every batch that has it.
+
+    The session must keep state in RocksDB (``spark.sql.streaming.stateStore.providerClass``),
+    which holds it outside the executors' memory and drops values whose time has passed.
+    A query that is to end when all is read (``availableNow``) also needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off: a time to live asks for further batches.
+    """
+    if not scans.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    own = _read_scans(scans).filter("venue_id IS NOT NULL").groupBy("venue_id")
+    return own.transformWithStateInPandas(VenueHealth(ttl_days), HEALTH, "Update", "ProcessingTime")
 
 
 def with_cooldown(syncs: DataFrame) -> DataFrame:

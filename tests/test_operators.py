@@ -200,15 +200,54 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert found == {r["id"]: r["allowed"] for r in state.rate_limited(df, most=3).collect()}
 
 
-def test_crawl_health_stream_equals_batch(spark, tmp_path):
-    outcomes = ["ok", "ok", "error", "unchanged", "ok"]
-    scans = [(v, n, (v + n) % 3 if outcomes[(v * 2 + n) % 5] == "ok" else 0, 4, outcomes[(v * 2 + n) % 5], f"h{n // 2}", "https://x.org/events") for v in range(3) for n in range(6)]
-    df = spark.createDataFrame(scans, "venue_id long, seq long, passed long, found long, outcome string, page_hash string, source_url string")
-    rows = streamed(spark, tmp_path, df, ["seq < 3", "seq >= 3"], state.crawl_health_stream, "update")
+@pytest.fixture
+def rocksdb(spark):
+    own = {"spark.sql.streaming.stateStore.providerClass": state.ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+SCANS = "venue_id long, seq long, passed long, found long, outcome string, page_hash string, source_url string"
+
+
+def test_crawl_health_stream_equals_batch(spark, tmp_path, rocksdb):
+    """Raw hashes in, a restart of the query after each part: the page read last is compared within the state."""
+    outcomes = ["ok", "ok", "error", "no_signal", "ok"]
+    scans = [(v, n, (v + n) % 3 if outcomes[(v * 2 + n) % 5] == "ok" else 0, 4, outcomes[(v * 2 + n) % 5], f"h{n // 2}" if n % 5 else None, "https://x.org/events") for v in range(3) for n in range(12)]
+    df = spark.createDataFrame([*scans, (None, 1, 1, 1, "ok", "h", None), (9, 1, None, None, None, None, None)], SCANS)
+    source, name = tmp_path / "in", "crawl_health"
     last: dict = {}
-    for r in rows:  # in the order of the batches
-        last[r["venue_id"]] = max(last.get(r["venue_id"], r), r, key=lambda r: r["total_scans"])
+    for k in range(3):
+        df.filter(F.col("seq").between(4 * k, 4 * k + 3)).coalesce(1).write.parquet(f"{source}/b={k}")
+        own = spark.readStream.schema(df.schema).parquet(f"{source}/b=*")
+        sink = str(tmp_path / "out")
+        write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{sink}/{batch}")
+        run = state.crawl_health_stream(own).writeStream.queryName(name).foreachBatch(write).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert run.awaitTermination(240) and run.exception() is None
+        for r in spark.read.parquet(f"{sink}/*").collect():
+            last[r["venue_id"]] = max(last.get(r["venue_id"], r), r, key=lambda r: r["total_scans"])
     assert {tuple(r) for r in last.values()} == {tuple(r) for r in state.crawl_health(df).collect()}
+    assert set(last) == {0, 1, 2, 9} and all(last[v]["total_scans"] == 12 for v in range(3))
+
+
+def test_twelve_hours_once_after_an_unchanged_page(spark):
+    """A page that passed, then stays the same: twelve hours once, then the back-off for empty scans."""
+    hours = []
+    now = dict(state._START)
+    for outcome, page in [("ok", "a"), ("ok", "a"), ("ok", "a"), ("ok", "a"), ("error", None), ("ok", "a"), ("ok", "b")]:
+        now = state.after_scan(now, 2, 70.0, outcome, page)
+        hours.append(now["next_hours"])
+    assert hours == [6.0, 12.0, 24.0, 48.0, 6.0, 96.0, 6.0]
+    assert now["total_passed"] == 4 and now["consecutive_empty"] == 0
+
+
+def test_crawl_health_needs_rocksdb(spark):
+    with pytest.raises(ValueError, match="RocksDB"):
+        state.crawl_health_stream(spark.createDataFrame([], SCANS))
 
 
 def test_refresh_machine(spark):
