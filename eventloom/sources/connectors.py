@@ -185,6 +185,29 @@ def model_listings(outputs: DataFrame, source: str, prefix: str) -> DataFrame:
     )
 
 
+GAMES = "array<struct<title:string,description:string,subcategory:string,start_time:string,is_free:boolean,source_url:string>>"
+
+
+def school_games(outputs: DataFrame, schools: DataFrame, now: Column) -> DataFrame:
+    """Games that a model wrote as JSON about schools' pages (place_id, output), with what is known of the school.
+
+    A model cannot know coordinates, so those of the school (place_id, name, address,
+    plat, plng, website) are filled in. Games without a title, without a readable start,
+    or that began over an hour ago go.
+    """
+    own = outputs.select("place_id", F.explode(F.from_json(text.first_json(F.col("output")), GAMES)).alias("e")).select("place_id", "e.*")
+    start = F.try_to_timestamp("start_time")
+    rows = own.join(schools.select("place_id", "name", F.col("address").alias("place"), "plat", "plng", "website"), "place_id")
+    rows = rows.filter((F.coalesce("title", F.lit("")) != "") & (start > now - tw.hours(1)))
+    slug = lambda c, most: text.slug(F.col(c), most)
+    sport = F.coalesce(F.nullif("subcategory", F.lit("")), F.lit("Sports"))
+    return as_events(
+        rows, source=F.lit("highschool"), source_id=text.source_id("hs", slug("name", 40), slug("title", 60), F.substring("start_time", 1, 10)), title=F.col("title"),
+        description=F.coalesce(F.nullif("description", F.lit("")), F.concat(sport, F.lit(" at "), "name", F.lit("."))), category=F.lit("sports"), subcategory=F.coalesce(F.nullif("subcategory", F.lit("")), F.lit("sports_event")),
+        lat=F.col("plat"), lng=F.col("plng"), address=text.joined_address(F.col("name"), F.col("place")), start_time=start, is_free=F.coalesce("is_free", F.lit(True)), source_url=F.coalesce(F.nullif("source_url", F.lit("")), F.col("website")),
+    )
+
+
 PLACES = "struct<places:array<struct<id:string,displayName:struct<text:string>,location:struct<latitude:double,longitude:double>,formattedAddress:string,types:array<string>,rating:float,priceLevel:string,websiteUri:string>>>"
 
 
