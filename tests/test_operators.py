@@ -66,6 +66,46 @@ def test_cluster_against_plain_loop(spark):
     assert len(together) < len(rows)
 
 
+def test_clusters_of_a_block_without_a_place(spark):
+    """Long chains of similar titles, common words and copies in the one block of a day that has no place."""
+    import random
+
+    rng = random.Random(6)
+    words = ["jazz", "night", "river", "blues", "market", "late", "open", "garden", "salsa", "quiz"]
+    titles = [" ".join(rng.sample(words, rng.randint(1, 5))) for _ in range(150)] + ["Jazz Night"] * 20 + ["", "a", None, "the of"]
+    df = events(spark, [{"title": t, "venue_id": None, "address": "", "venue_name": None, "pos": rng.randint(0, 40)} for t in titles])
+    from eventloom.functions import text
+
+    rows = df.select("id", "pos", F.coalesce(text.without_venue(F.col("title"), F.lit("")), F.lit("")).alias("t"), "title").withColumn("w", text.tokens(F.col("t"))).collect()
+    leaders, wanted = [], {}
+    for r in sorted(rows, key=lambda r: (r["pos"], r["id"])):
+        mine = set(r["w"])
+        for lead in leaders:
+            both, fewer = len(mine & set(lead["w"])), min(len(mine), len(lead["w"]))
+            if r["t"] == lead["t"] or (fewer >= 2 and (both == fewer or both / len(mine | set(lead["w"])) >= 0.65)):
+                wanted[r["id"]] = lead["id"]
+                break
+        else:
+            leaders.append(r)
+            wanted[r["id"]] = r["id"]
+    assert {r["id"]: int(r["cluster"].rpartition("|")[2]) for r in resolve.cluster(df).select("id", "cluster").collect()} == wanted
+    own = df.select("id", "title", F.lit(1).alias("b"))
+    pairs = {(a["id"], c["id"]) for a in rows for c in rows if a["id"] < c["id"] and a["title"] is not None and c["title"] is not None and (a["t"] == c["t"] or (min(len(a["w"]), len(c["w"])) >= 2 and (
+        len(set(a["w"]) & set(c["w"])) == min(len(a["w"]), len(c["w"])) or len(set(a["w"]) & set(c["w"])) / len(set(a["w"]) | set(c["w"])) >= 0.65)))}
+    found = resolve.similar_pairs(own, ["b"], F.lit("")).collect()
+    assert {tuple(r) for r in found} == pairs and len(found) == len(pairs)
+
+
+def test_no_join_of_a_whole_block(spark):
+    """Titles meet by block and word; the plan has no join on the block alone."""
+    import re
+
+    df = spark.createDataFrame([(1, "a b", 1)], "id long, title string, hall int")
+    plan = resolve.similar_pairs(df, ["hall"], F.lit(""))._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join Inner, .*", plan)
+    assert joins and all(j.count(" = ") >= 2 for j in joins)
+
+
 def test_rows(spark):
     few = events(spark, [{"is_free": True}])
     four = events(spark, [{"is_free": True}] * 4)
