@@ -113,6 +113,15 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__nth = 1").drop("__nth")
 
 
+def first_tier(rows: DataFrame, keys: list[str], tier: str) -> DataFrame:
+    """Of every key the rows of its lowest tier: the first candidate that gave something.
+
+    One exchange by key; a key's lowest tier is known before its rows are read again, so
+    no list of them is built.
+    """
+    return rows.withColumn("__first", F.min(tier).over(Window.partitionBy(*keys))).filter(F.col("__first") == F.col(tier)).drop("__first")
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: 1, 2 and so on in an order that is without ties.
 

@@ -112,23 +112,6 @@ def source_model_listings(spark, sf_dir):
     return connectors.model_listings(outputs, "reddit", "rd").select("source_id", "lat")
 
 
-@query("source_others", "SELECT 'eb-1' AS source_id, 'community' AS source UNION ALL SELECT '5', 'seatgeek' UNION ALL SELECT 'meetup-hike-20240120', 'meetup' UNION ALL SELECT 'uni-fau-3', 'university'")
-def source_others(spark, sf_dir):
-    """S10, S11, S13, S15 on small literal payloads, united."""
-    one = lambda payload, **more: spark.createDataFrame([(*more.values(), payload)], [*more, "payload"])
-    eb = '{"events":[{"id":"1","name":"Art walk","summary":"A walk","venue":{"latitude":"26.3","longitude":"-80.1"}},{"id":"1","name":"Again","venue":{"latitude":"26.3","longitude":"-80.1"}}]}'
-    sg = '{"events":[{"id":5,"title":"Game","type":"nba","venue":{"location":{"lat":1.5,"lon":2.5}}}]}'
-    mu = '{"data":{"rankedEvents":{"edges":[{"node":{"id":"m","title":"Hike","dateTime":"2024-01-20T10:00:00Z"}}]}}}'
-    lo = '{"events":[{"event":{"id":3,"title":"Lecture","description_text":"On history"}},{"event":{"id":4,"title":"No text"}}]}'
-    parts = [
-        connectors.eventbrite(one(eb, page_no=1)), connectors.seatgeek(one(sg)), connectors.meetup(one(mu), one(mu.replace("Hike", "Scraped"))), connectors.localist(one(lo, university="FAU")),
-    ]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.select("source_id", "source")
-
-
 @query("source_forums", f"WITH {FEED_SQL} SELECT id, 'pickleball,PickupBasketball,RunningClub,Volleyball,tennis' || CASE WHEN lat > 25.7 AND lat < 26.8 AND lng > -80.5 AND lng < -79.8 THEN ',BocaRaton,southflorida,florida,FAU,Miami,MiamiHurricanes' ELSE '' END AS forums FROM feed")
 def source_forums(spark, sf_dir):
     """X66."""

@@ -64,36 +64,6 @@ def ticketmaster(payloads: DataFrame) -> DataFrame:
     )
 
 
-EVENTBRITE = "struct<events:array<struct<id:string,name:string,summary:string,url:string,is_free:boolean,start:timestamp,end:timestamp,image:struct<url:string>,venue:struct<name:string,latitude:string,longitude:string,address:string,city:string,region:string>>>>"
-
-
-def eventbrite(pages: DataFrame) -> DataFrame:
-    """Pages of listings (page_no, payload): the first of every id; descriptions cut at 500."""
-    e = pages.select("page_no", F.posexplode(F.from_json("payload", EVENTBRITE)["events"]).alias("n", "e")).select("page_no", "n", "e.*").withColumnRenamed("summary", "info")
-    rows = first_by(e, ["id"], [F.col("page_no"), F.col("n")]).withColumns({"la": truthy(F.col("venue.latitude").try_cast("double")), "ln": truthy(F.col("venue.longitude").try_cast("double")), "place": F.col("venue.name")})
-    rows = not_adult(rows.filter("la IS NOT NULL AND ln IS NOT NULL"), "name", "info", "place")
-    category = cl.category_of(F.col("name"), F.col("info"), F.array().cast("array<string>"))
-    free = F.coalesce("is_free", F.lit(False))
-    return as_events(
-        rows, source=F.lit("community"), source_id=text.source_id("eb", F.col("id")), title=F.col("name"), description=F.substring("info", 1, 500), category=category, subcategory=F.lit("event"), lat=F.col("la"), lng=F.col("ln"),
-        address=text.joined_address(F.col("venue.address"), F.col("venue.city"), F.col("venue.region")), image_url=F.col("image.url"), start_time=F.col("start"), end_time=F.col("end"), is_free=free,
-        ticket_url=F.col("url"), source_url=F.col("url"), tags=_tags("name", category, F.lit("event"), free, F.col("start"), F.col("url")),
-    )
-
-
-SEATGEEK = "struct<events:array<struct<id:long,title:string,type:string,url:string,datetime_utc:timestamp,stats:struct<lowest_price:double,highest_price:double>,performers:array<struct<image:string>>,venue:struct<address:string,city:string,state:string,location:struct<lat:double,lon:double>>>>>"
-
-
-def seatgeek(payloads: DataFrame) -> DataFrame:
-    """The legacy ticketing page; its source is outside the declared list."""
-    e = payloads.select(F.explode(F.from_json("payload", SEATGEEK)["events"]).alias("e")).select("e.*", cl.seat_category(F.coalesce("e.type", F.lit(""))).alias("c"))
-    return as_events(
-        e, source=F.lit("seatgeek"), source_id=F.col("id").cast("string"), title=F.col("title"), category=F.col("c.category"), subcategory=F.col("c.subcategory"), lat=F.col("venue.location.lat"), lng=F.col("venue.location.lon"),
-        address=text.joined_address(F.col("venue.address"), F.col("venue.city"), F.col("venue.state")), image_url=F.get("performers", F.lit(0))["image"], start_time=F.col("datetime_utc"), is_free=F.lit(False),
-        price_min=F.col("stats.lowest_price"), price_max=F.col("stats.highest_price"), ticket_url=F.col("url"), source_url=F.col("url"),
-    )
-
-
 ESPN = """struct<events:array<struct<id:string,name:string,shortName:string,date:timestamp,status:struct<type:struct<completed:boolean>>,links:array<struct<href:string>>,
   competitions:array<struct<venue:struct<fullName:string,address:struct<city:string,state:string>>,competitors:array<struct<homeAway:string,team:struct<displayName:string>>>>>>>>"""
 
@@ -134,38 +104,6 @@ def espn(payloads: DataFrame, user_state: str, now: Column) -> DataFrame:
     )
 
 
-MEETUP = "struct<data:struct<rankedEvents:struct<edges:array<struct<node:struct<id:string,title:string,description:string,dateTime:timestamp,endTime:timestamp,eventUrl:string,venue:struct<name:string,address:string,city:string,lat:double,lng:double>>>>>>>"
-
-
-def meetup(api: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Edges of the API; scraped rows of the same shape only where the API gave none."""
-    nodes = lambda df: df.select(F.explode(F.from_json("payload", MEETUP)["data"]["rankedEvents"]["edges"]).alias("e")).select("e.node.*")
-    found = nodes(api)
-    none = found.agg((F.count(F.lit(1)) == 0).alias("__none"))
-    rows = found.unionByName(nodes(scraped).crossJoin(F.broadcast(none)).filter("__none").drop("__none"))
-    day = F.date_format("dateTime", "yyyyMMdd")
-    return as_events(
-        rows, source=F.lit("meetup"), source_id=text.source_id("meetup", text.slug(F.col("title"), 40), day), title=F.col("title"), description=text.clean_text(F.col("description")), lat=F.col("venue.lat"), lng=F.col("venue.lng"),
-        category=cl.category_of(F.col("title"), F.col("description"), F.array().cast("array<string>")), subcategory=F.lit("meetup"), address=text.joined_address(F.col("venue.name"), F.col("venue.address"), F.col("venue.city")),
-        start_time=F.col("dateTime"), end_time=F.col("endTime"), is_free=F.lit(True), source_url=F.col("eventUrl"),
-    )
-
-
-LOCALIST = "struct<events:array<struct<event:struct<id:long,title:string,description_text:string,location_name:string,localist_url:string,photo_url:string,first_date:string,free:boolean>>>>"
-
-
-def localist(payloads: DataFrame, most: int = 25) -> DataFrame:
-    """Campus calendars (university, payload): the first events that have a title and a description."""
-    shown = F.slice(F.from_json("payload", LOCALIST)["events"], 1, most)
-    e = payloads.select("university", F.explode(shown).alias("e")).select("university", "e.event.*")
-    rows = e.filter("coalesce(title, '') <> '' AND coalesce(description_text, '') <> ''")
-    return as_events(
-        rows, source=F.lit("university"), source_id=text.source_id("uni", text.slug(F.col("university"), 40), F.col("id").cast("string")), title=F.col("title"), description=text.clean_text(F.col("description_text")),
-        category=cl.category_of(F.col("title"), F.col("description_text"), F.array().cast("array<string>")), subcategory=cl.subcategory_of(F.col("title"), F.col("description_text")), address=F.col("location_name"),
-        image_url=F.col("photo_url"), start_time=F.to_timestamp("first_date"), is_free=F.coalesce("free", F.lit(False)), source_url=F.col("localist_url"),
-    )
-
-
 MODEL_ROWS = "array<struct<title:string,description:string,category:string,start_time:timestamp,address:string,lat:double,lng:double,is_free:boolean,url:string>>"
 
 
