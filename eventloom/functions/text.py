@@ -191,6 +191,28 @@ def ids_hash(ids: Column) -> Column:
     return F.lpad(F.lower(F.hex(hashed)), 8, "0")
 
 
+# Entities that attributes are decoded from, in order.
+ATTRIBUTE_ENTITIES = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")]
+_ATTRIBUTE = r"""([\w:-]+)\s*=\s*["']([^"']*)["']"""
+
+
+def attribute_text(raw: Column) -> Column:
+    """An attribute's value with the five entities decoded, trimmed."""
+    for entity, plain in ATTRIBUTE_ENTITIES:
+        raw = F.regexp_replace(raw, "(?i)" + entity, plain)
+    return F.regexp_replace(raw, r"^\s+|\s+$", "")
+
+
+def attributes(tag: Column) -> Column:
+    """The attributes of a tag's text as a map, names in lower case; the last of a repeated name counts. Empty without any, null for null."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), attribute_text)
+    # Backwards, the first of a name is its last.
+    back = F.reverse(F.arrays_zip(names.alias("name"), values.alias("value")))
+    first = F.filter(back, lambda a, i: F.array_position(F.transform(back, lambda b: b["name"]), a["name"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def first_json(text: Column, kind: str = "array") -> Column:
     """The text from the first opening to the last closing bracket, for ``from_json``; null if there is none."""
     pattern = r"(?s)\[.*\]" if kind == "array" else r"(?s)\{.*\}"

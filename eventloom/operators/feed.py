@@ -102,6 +102,23 @@ def only_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def in_view(events: DataFrame, centre: tuple[float, float] | None = None, delta: tuple[float, float] | None = None, cluster: DataFrame | None = None) -> DataFrame:
+    """What a map lists: the members of the cluster that was opened, else what lies in its window, else all."""
+    if cluster is not None:
+        return only_ids(events, cluster)
+    return viewport(events, centre, delta) if centre is not None and delta is not None else events
+
+
+#: Ids of one lookup that count.
+MOST_IDS = 60
+
+
+def looked_up(events: DataFrame, requests: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """The events of requests (request_id, ids): of the first ``most`` ids, in the order given, those that exist; each once."""
+    wanted = requests.select("request_id", F.explode(F.slice("ids", 1, most)).alias("id")).distinct()
+    return events.select("id", "title", "category", "tags", "start_time", "description").join(wanted, "id")
+
+
 def merge_unique(base: DataFrame, extra: DataFrame, key: str = "id") -> DataFrame:
     """Base rows in order, then rows of ``extra`` whose key is new; of repeats the first."""
     both = base.withColumn("__side", F.lit(0)).unionByName(extra.withColumn("__side", F.lit(1)), allowMissingColumns=True)

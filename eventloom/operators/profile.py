@@ -1,10 +1,7 @@
-"""A user's side of the feed: preferences, feedback, saved events, rating prompts and the cache of areas."""
+"""A user's side of the feed: preferences, feedback, saved events and rating prompts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,57 +115,21 @@ def saved_sections(saved: DataFrame, feedback: DataFrame, mode: str, now: Column
     return own.withColumns({"title": title, "place": F.row_number().over(by_start)}).drop("__went", "__past")
 
 
+# States in which nothing is asked any more.
+DONE_RATING = ["rated", "feedback_sent"]
+
+
 def rating_prompts(ratings: DataFrame, days: DataFrame, now: Column) -> DataFrame:
     """Ratings (user_id, state, streak_shown_at, dismissed_at) with ``prompt``: delayed, streak or none.
 
-    Only a pending rating is asked for: again from 48 hours after it was put off, else on
+    A rating is pending unless its state is ``rated`` or ``feedback_sent``; a user without
+    a state has not rated. Only a pending rating is asked for: again from 48 hours after it was put off, else on
     three different days (user_id, day) of which none began over seven days ago, unless
     that was shown within seven days.
     """
     of_week = days.filter(F.col("day").cast("timestamp") >= now - tw.hours(7 * 24)).groupBy("user_id").agg(F.countDistinct("day").alias("__days"))
-    pending = F.col("state") == "pending"
+    pending = F.coalesce(~F.col("state").isin(DONE_RATING), F.lit(True))
     delayed = pending & (F.col("dismissed_at") <= now - tw.hours(48))
     rested = F.coalesce(F.col("streak_shown_at") <= now - tw.hours(7 * 24), F.lit(True))
     streak = pending & (F.col("__days") >= 3) & rested
     return ratings.join(of_week, "user_id", "left").withColumn("prompt", F.when(delayed, "delayed").when(streak, "streak").otherwise("none")).drop("__days")
-
-
-# Areas kept, events of a healthy list, minutes that healthy and thin lists stay.
-MOST_AREAS, HEALTHY, TTL_MINUTES, THIN_TTL_MINUTES = 3, 20, 10, 3
-
-
-def area_key(lat: Column, lng: Column) -> Column:
-    """Tenths of a degree."""
-    return F.concat_ws(",", *((tw.rounded(c * 10) / F.lit(10.0)).cast("string") for c in (lat, lng)))
-
-
-def cached_areas(log: DataFrame) -> DataFrame:
-    """(id, hit) of the reads in a log (id, user_id, at, kind, area, n_events) of ``set`` and ``get``.
-
-    A user's cache keeps the three areas written last; a read hits while its area's
-    list is fresh. A user's log is walked in order (at, id) by one task, in batches of
-    bounded size, with three areas as state.
-    """
-
-    def of_users(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, areas = object(), {}
-        for batch in batches:
-            ids, hits = [], []
-            for row in batch.itertuples(index=False):
-                who = None if pd.isna(row.user_id) else row.user_id
-                if who != user:
-                    user, areas = who, {}
-                if row.kind == "set":
-                    areas.pop(row.area, None)
-                    areas[row.area] = (row.micros, row.n_events)
-                    while len(areas) > MOST_AREAS:
-                        del areas[next(iter(areas))]
-                elif row.kind == "get":
-                    at, n = areas.get(row.area, (None, 0))
-                    minutes = THIN_TTL_MINUTES if n < HEALTHY else TTL_MINUTES
-                    ids.append(row.id)
-                    hits.append(at is not None and row.micros - at <= minutes * 60_000_000)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "hit": pd.Series(hits, dtype="bool")})
-
-    own = log.select("id", "user_id", F.unix_micros("at").alias("micros"), "kind", "area", F.coalesce("n_events", F.lit(0)).alias("n_events"))
-    return own.repartition("user_id").sortWithinPartitions("user_id", "micros", "id").mapInPandas(of_users, "id long, hit boolean")

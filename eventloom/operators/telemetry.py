@@ -61,6 +61,22 @@ def dominant(events: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.max_by(F.struct(column, "n"), F.struct("n", -F.col("first_pos"))).alias("top")).select("top.*")
 
 
+# Calls that a client may make, and the minutes in which.
+MOST_CALLS, CALL_MINUTES = 10, 60
+
+
+def calls_left(calls: DataFrame, now: Column, endpoint: str) -> DataFrame:
+    """Per client of calls (client_id, endpoint, called_at): used, the exact number within the hour, and what it leaves.
+
+    Counted in the scan's tasks; no row of the log leaves them. A client without a call in
+    the hour has none of its quota used and is not listed; after one more call ``remaining`` are left.
+    """
+    of_hour = calls.filter((F.col("endpoint") == endpoint) & (F.col("called_at") >= now - hours(CALL_MINUTES / 60)) & F.col("client_id").isNotNull())
+    counted = of_hour.groupBy("client_id").agg(F.count(F.lit(1)).alias("used"))
+    allowed = F.col("used") < MOST_CALLS
+    return counted.select("client_id", "used", allowed.alias("allowed"), F.when(allowed, MOST_CALLS - F.col("used") - 1).otherwise(0).alias("remaining"))
+
+
 # The order of categories in a hint.
 HINT_ORDER = ["music", "sports", "food", "nightlife", "arts", "community", "fitness", "outdoors", "movies"]
 

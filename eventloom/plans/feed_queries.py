@@ -84,9 +84,10 @@ FROM near WHERE distance <= {miles}
 """
 
 
-def _discovered(spark: SparkSession, sf_dir: str, miles: float, **filters) -> DataFrame:
+def _discovered(spark: SparkSession, sf_dir: str, miles: float, events: DataFrame | None = None, **filters) -> DataFrame:
     now = now_column()
-    found = feed.numbered(feed.discover(feed_events(spark, sf_dir), venues(spark, sf_dir), ORIGIN, miles, now, **filters), feed.rank_keys(now), "rank")
+    events = feed_events(spark, sf_dir) if events is None else events
+    found = feed.numbered(feed.discover(events, venues(spark, sf_dir), ORIGIN, miles, now, **filters), feed.rank_keys(now), "rank")
     return found.select(
         "id", "source", "title", F.round("distance", 6).alias("distance"), F.col("quality").cast("int").alias("quality"), F.array_join("tags", ",").alias("tags"),
         F.col("venue.name").alias("venue_name"), F.col("venue.rating").alias("venue_rating"), "rank",

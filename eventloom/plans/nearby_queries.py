@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from eventloom.operators import nearest
-from eventloom.plans.feed_queries import TS, now_column
-from eventloom.plans.views import pick, sql_pick, table
-from eventloom.sources import connectors
+from eventloom.operators import nearest, stored
+from eventloom.plans.feed_queries import TS, _discover_sql, _discovered, now_column
+from eventloom.plans.views import ORIGIN, feed_events, pick, sql_pick, table
+from eventloom.sources import connectors, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,3 +83,11 @@ def source_school_games(spark, sf_dir):
     output = F.concat(F.lit("Found: "), F.format_string(_GAME, "name", pick(_TOWNS, F.floor(i / 5)), sub, 10 + i % 19, F.when(i % 3 == 0, ', "is_free": false').otherwise("")))
     games = connectors.school_games(chosen.select("place_id", output.alias("output")), chosen, now_column())
     return games.select("source_id", "title", "description", "subcategory", "lat", "lng", "address", "start_time", "is_free")
+
+
+@query("feed_discover_cells", _discover_sql(5.0))
+def feed_discover_cells(spark, sf_dir):
+    """the ranked feed around a point from a feed stored by cells, of which only those of the circle are read."""
+    path = f"{tables.shared_dir(spark).rstrip('/')}/feed-cells-{uuid.uuid4().hex}"
+    stored.write_cells(feed_events(spark, sf_dir), path)
+    return _discovered(spark, sf_dir, 5.0, stored.read_near(spark, path, ORIGIN, 5.0))

@@ -1,4 +1,4 @@
-"""Queries of images, preferences, feedback, saved events, rating prompts, caches and page changes, with DuckDB SQL."""
+"""Queries of images, preferences, feedback, saved events, rating prompts and page changes, with DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -142,7 +142,7 @@ def saved_sections(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_RATINGS = ["pending", "rated", "pending", "declined", "pending"]
+_RATINGS = ["pending", "rated", None, "feedback_sent", "dismissed", None]
 
 
 @query(
@@ -150,7 +150,7 @@ _RATINGS = ["pending", "rated", "pending", "declined", "pending"]
     f"""WITH users AS (SELECT DISTINCT user_id FROM events), ratings AS (SELECT user_id, {sql_pick(_RATINGS, "user_id")} AS state, CASE WHEN user_id % 3 = 0 THEN {TS} - INTERVAL 1 HOUR * (user_id % 300) END AS shown,
   CASE WHEN user_id % 7 = 0 THEN {TS} - INTERVAL 1 HOUR * (user_id * 41 % 97) END AS put_off FROM users),
 week AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) >= {TS} - INTERVAL 7 DAY GROUP BY user_id)
-SELECT user_id, CASE WHEN state <> 'pending' THEN 'none' WHEN put_off <= {TS} - INTERVAL 48 HOUR THEN 'delayed' WHEN days >= 3 AND coalesce(shown <= {TS} - INTERVAL 7 DAY, true) THEN 'streak' ELSE 'none' END AS prompt
+SELECT user_id, CASE WHEN coalesce(state IN ('rated', 'feedback_sent'), false) THEN 'none' WHEN put_off <= {TS} - INTERVAL 48 HOUR THEN 'delayed' WHEN days >= 3 AND coalesce(shown <= {TS} - INTERVAL 7 DAY, true) THEN 'streak' ELSE 'none' END AS prompt
 FROM ratings LEFT JOIN week USING (user_id)""",
 )
 def rating_prompts(spark, sf_dir):
@@ -162,26 +162,6 @@ def rating_prompts(spark, sf_dir):
     return profile.rating_prompts(ratings, days, now_column()).select("user_id", "prompt")
 
 
-_CACHE_LOG = "SELECT event_id AS id, user_id % 20 AS user_id, event_id * 20000000 AS at, event_id % 2 = 0 AS reads, CAST(event_id // 7 % 5 AS VARCHAR) AS area, event_id % 40 AS n FROM events"
-
-
-@query(
-    "cached_areas",
-    f"""WITH log AS ({_CACHE_LOG}), marked AS (SELECT g.id, g.user_id, g.at, g.area, max(s.at) AS set_at FROM log g LEFT JOIN log s ON NOT s.reads AND s.user_id = g.user_id AND s.area = g.area AND s.at < g.at AND s.at >= g.at - 600000000 WHERE g.reads GROUP BY ALL),
-crowd AS (SELECT m.id, count(DISTINCT s.area) AS others FROM marked m JOIN log s ON NOT s.reads AND s.user_id = m.user_id AND s.at > m.set_at AND s.at < m.at GROUP BY m.id)
-SELECT m.id, m.set_at IS NOT NULL AND coalesce(others, 0) < 3 AND m.at - m.set_at <= CASE WHEN s.n < 20 THEN 180000000 ELSE 600000000 END AS hit
-FROM marked m LEFT JOIN crowd c ON m.id = c.id LEFT JOIN log s ON s.at = m.set_at""",
-)
-def cached_areas(spark, sf_dir):
-    """Which reads the cache of areas answers."""
-    i = F.col("event_id")
-    log = table(spark, sf_dir, "events").select(
-        i.alias("id"), (F.col("user_id") % 20).alias("user_id"), F.timestamp_micros(i * 20_000_000).alias("at"), F.when(i % 2 == 0, "get").otherwise("set").alias("kind"),
-        (F.floor(i / 7) % 5).cast("string").alias("area"), (i % 40).alias("n_events"),
-    )
-    return profile.cached_areas(log)
-
-
 @query(
     "scan_page_changes",
     """WITH log AS (SELECT event_id AS seq, user_id % 40 AS venue_id, event_id % 3 AS passed, event_id % 4 AS found, CASE WHEN event_id % 11 = 0 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id // 400 AS VARCHAR) END AS page_hash FROM events),

@@ -7,7 +7,7 @@ same columns (see :data:`COLUMNS`), so that batches can be united.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import classify as cl
@@ -178,3 +178,38 @@ def forums(lat: Column, lng: Column) -> Column:
     for (south, north, west, east), names in reversed(LOCAL_SUBS):
         local = F.when((lat > south) & (lat < north) & (lng > west) & (lng < east), F.array(*map(F.lit, names))).otherwise(local)
     return F.concat(F.array(*map(F.lit, NATIONAL_SUBS)), local)
+
+
+# Forums read of a place's list, posts of each, characters of a post's body, and of a text worth asking about.
+MOST_SUBS, MOST_POSTS, MOST_BODY, LEAST_POSTS_TEXT = 2, 15, 500, 100
+
+
+def forum_texts(requests: DataFrame, posts: DataFrame) -> DataFrame:
+    """(request_id, sub, n_posts, text): what a model is asked about, for the first two forums of each request (request_id, lat, lng).
+
+    ``posts``: request_id, sub, pos, title, selftext, permalink, as the forum lists them;
+    the first fifteen count, their bodies cut. Texts that are too short are left out.
+    """
+    chosen = requests.select("request_id", F.explode(F.slice(forums(F.col("lat"), F.col("lng")), 1, MOST_SUBS)).alias("sub"))
+    nth = F.row_number().over(Window.partitionBy("request_id", "sub").orderBy("pos"))
+    shown = posts.join(chosen, ["request_id", "sub"]).withColumn("nth", nth).filter(F.col("nth") <= MOST_POSTS)
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    line = F.concat(F.lit("TITLE: "), part("title"), F.lit("\nBODY: "), F.substring(part("selftext"), 1, MOST_BODY), F.lit("\nURL: https://reddit.com"), part("permalink"))
+    listed = shown.groupBy("request_id", "sub").agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("rows"))
+    texts = listed.select("request_id", "sub", F.size("rows").alias("n_posts"), F.array_join("rows.line", "\n---\n").alias("text"))
+    return texts.filter(F.length("text") >= LEAST_POSTS_TEXT)
+
+
+def ranked_rows(outputs: DataFrame) -> DataFrame:
+    """(run_id, event_id, rank_score, blurb) of a ranking model's answers (run_id, output).
+
+    The whole answer must be a JSON array, else nothing of it counts; entries without an id
+    as text or a score as number are left out; a blurb that is no text is empty, others
+    are cut at 80 characters.
+    """
+    e = outputs.select("run_id", F.explode(F.expr("try_variant_get(try_parse_json(output), '$', 'array<variant>')")).alias("e"))
+    kind = lambda name: F.expr(f"schema_of_variant(try_variant_get(e, '$.{name}', 'variant'))")
+    is_number = kind("rank_score").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    rows = e.filter((kind("event_id") == "STRING") & is_number)
+    blurb = F.when(kind("blurb") == "STRING", F.substring(F.expr("try_variant_get(e, '$.blurb', 'string')"), 1, 80)).otherwise("")
+    return rows.select("run_id", F.expr("try_variant_get(e, '$.event_id', 'string')").alias("event_id"), F.expr("try_variant_get(e, '$.rank_score', 'double')").alias("rank_score"), blurb.alias("blurb"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from eventloom.functions.text import host_and_port
+from eventloom.functions.text import attributes, host_and_port
 from eventloom.operators.feed import first_by
 
 # Words of links to event pages, and of links that are none.
@@ -104,8 +104,8 @@ def schema_events(pages: DataFrame) -> DataFrame:
 def page_images(pages: DataFrame) -> DataFrame:
     """(page_id, image_url): of the page's meta tags, else of its JSON-LD events."""
     metas = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))).alias("pos", "tag"))
-    named = F.lower(F.regexp_extract("tag", r"""(?i)(?:property|name)\s*=\s*["']([^"']*)["']""", 1))
-    content = F.replace(F.regexp_extract("tag", r"""(?i)content\s*=\s*["']([^"']*)["']""", 1), F.lit("&amp;"), F.lit("&"))
+    metas = metas.withColumn("own", attributes(F.col("tag")))
+    named, content = F.lower(F.coalesce(F.nullif(F.col("own")["property"], F.lit("")), F.col("own")["name"])), F.col("own")["content"]
     of_meta = metas.filter(named.isin("og:image", "og:image:url", "twitter:image", "twitter:image:src")).select("page_id", F.lit(0).alias("kind"), "pos", image_url(F.col("url"), content).alias("image_url"))
     of_ld = _ld_items(pages).filter(_is_event()).select("page_id", F.lit(1).alias("kind"), "pos", image_url(F.col("url"), _ld_image()).alias("image_url"))
     return first_by(of_meta.union(of_ld).filter("image_url IS NOT NULL"), ["page_id"], [F.col("kind"), F.col("pos")]).select("page_id", "image_url")

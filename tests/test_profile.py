@@ -59,21 +59,10 @@ def test_random_pick(spark):
 
 def test_rating_prompts_edges(spark):
     ago = lambda h: NOW - dt.timedelta(hours=h)
-    ratings = spark.createDataFrame([(1, "pending", None, ago(48)), (2, "pending", None, ago(47)), (3, "pending", ago(168), None), (4, "pending", ago(167), None), (5, "rated", None, ago(99)), (6, None, None, None)], "user_id long, state string, streak_shown_at timestamp, dismissed_at timestamp")
-    days = spark.createDataFrame([(u, dt.date(2024, 1, d)) for u in (2, 3, 4, 5, 6) for d in (9, 10, 15, 15)] + [(1, dt.date(2024, 1, 8))], "user_id long, day date")
+    ratings = spark.createDataFrame([(1, "pending", None, ago(48)), (2, "pending", None, ago(47)), (3, "pending", ago(168), None), (4, "pending", ago(167), None), (5, "rated", None, ago(99)), (6, None, None, None), (7, "feedback_sent", None, None), (8, "later", None, None)], "user_id long, state string, streak_shown_at timestamp, dismissed_at timestamp")
+    days = spark.createDataFrame([(u, dt.date(2024, 1, d)) for u in (2, 3, 4, 5, 6, 7, 8) for d in (9, 10, 15, 15)] + [(1, dt.date(2024, 1, 8))], "user_id long, day date")
     found = profile.rating_prompts(ratings, days, F.lit(NOW))
-    assert {r["user_id"]: r["prompt"] for r in found.collect()} == {1: "delayed", 2: "streak", 3: "streak", 4: "none", 5: "none", 6: "none"}
-
-
-def test_cache_keeps_three_fresh_areas(spark):
-    at = lambda minutes: NOW + dt.timedelta(minutes=minutes)
-    steps = [("set", "a", 0, 30), ("set", "b", 1, 5), ("get", "a", 9, 0), ("get", "b", 4, 0), ("get", "b", 5, 0), ("set", "c", 9, 30), ("set", "a", 9, 30), ("set", "d", 9, 30), ("get", "b", 9, 0), ("get", "a", 19, 0), ("get", "a", 20, 0), ("get", "x", 20, 0)]
-    rows = [(n, user, at(m), kind, area, events) for user in (1, None) for n, (kind, area, m, events) in enumerate(steps, 100 * (user or 2))]
-    found = profile.cached_areas(spark.createDataFrame(rows, "id long, user_id long, at timestamp, kind string, area string, n_events long"))
-    hits = {r["id"]: r["hit"] for r in found.collect()}
-    for first in (100, 200):
-        assert [hits[first + n] for n in (2, 3, 4, 8, 9, 10, 11)] == [True, True, False, False, True, False, False]
-    assert spark.range(1).select(profile.area_key(F.lit(26.3587), F.lit(-80.0831))).first()[0] == "26.4,-80.1"
+    assert {r["user_id"]: r["prompt"] for r in found.collect()} == {1: "delayed", 2: "streak", 3: "streak", 4: "none", 5: "none", 6: "streak", 7: "none", 8: "streak"}
 
 
 def test_unchanged_pages(spark):
@@ -83,9 +72,8 @@ def test_unchanged_pages(spark):
 
 
 def test_queries_meet_every_case(spark):
-    """The derived tables reach both answers of caches, all outcomes of pages, every section and prompt."""
+    """The derived tables reach all outcomes of pages, every section and prompt."""
     values = lambda name, column: {r[0] for r in catalog.QUERIES[name](spark, SF).select(column).distinct().collect()}
-    assert values("cached_areas", "hit") == {True, False}
     assert values("scan_page_changes", "outcome") == {"ok", "error", "unchanged"}
     assert values("rating_prompts", "prompt") == {"delayed", "streak", "none"}
     assert len(values("feed_feedback_bias", "bias")) > 3
