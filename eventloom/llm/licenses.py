@@ -1,30 +1,34 @@
 """Licence scan with a positional index of rare words (DataFrame operations only).
 
-Each template is a word sequence with mandatory key phrases. Document frequencies
-of all template words are counted over the whole corpus; the highest-IDF word of
-a template's key phrase becomes its posting (word -> template, position). A file's
-occurrences of such words propose starts; the postings of the template's other
-rare words must stand at the same relative position; then the key phrases are
-verified word by word. Because a key phrase is verified whole, the rare word is
-always one of its words, so no place is missed.
-
-Only the template list (a fixed table of this module) reaches the driver or a
-literal; texts stay in their rows and nothing but word counts is shuffled.
+Each template is a word sequence with a mandatory key phrase. The words of every text
+are split once: how many there are, which template words are among them, and, where all
+words of some key phrase are there, the words themselves are kept in a table. Document
+frequencies are counted from it. The highest-IDF words of a template's key phrase become
+its postings (word -> template, position): an occurrence of the rarest proposes a start,
+the other rare ones must stand at the same relative position, and then the key phrase is
+verified whole. Because of that, no place of a key phrase is missed.
+
+The templates are one table of postings in a single literal, so a plan for hundreds of
+templates is as long as for one. Only word counts, as many as the templates have words,
+reach the driver; texts stay in their rows.
 
 Defined cases: null text is empty and gives no label; a row is answered by
 itself, so repeated rows repeat; nested and overlapping places all count; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; without templates there are no labels; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import lower_ascii, text_of
+from eventloom.llm.common import keep, lower_ascii, text_of
 
 #: What separates words: every ASCII character but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,84 +84,81 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), SEPARATORS), "")
 
 
-def template_idf(docs: DataFrame, templates: list[Template]) -> dict[str, float]:
+def _literal(value, kind: str) -> Column:
+    """A constant of any shape; Spark reads it once and keeps it as one literal."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"struct<v:{kind}>")["v"]
+
+
+def split_texts(docs: DataFrame, templates: list[Template]) -> DataFrame:
+    """Per document: doc_id, n_words, present (template words among them), and words where a key phrase may be, else null."""
+    vocabulary = _literal(sorted({w for t in templates for w in t.words}), "array<string>")
+    keys = _literal([sorted(set(k)) for k in sorted({tuple(t.key.split()) for t in templates})], "array<array<string>>")
+    own = docs.select("doc_id", words_of(text_of()).alias("words")).select("*", F.array_intersect("words", vocabulary).alias("present"))
+    may = F.exists(keys, lambda k: F.size(F.array_except(k, "present")) == 0)
+    return own.select("doc_id", F.size("words").alias("n_words"), "present", F.when(may, F.col("words")).alias("words"))
+
+
+def template_idf(split: DataFrame, templates: list[Template]) -> dict[str, float]:
     """IDF, at least 1, of every template word over all documents; as many rows as the templates have words."""
-    vocabulary = sorted({w for t in templates for w in t.words})
-    present = docs.select(F.array_intersect(words_of(text_of()), F.array(*map(F.lit, vocabulary))).alias("present"))
     # Each document adds 1 per word it has; a null element counts all documents.
-    counted = present.select(F.explode(F.concat("present", F.array(F.lit(None).cast("string")))).alias("word")).groupBy("word").count()
+    counted = split.select(F.explode(F.concat("present", F.array(F.lit(None).cast("string")))).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counted.collect()}
     n = df.pop(None, 0)
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in sorted({w for t in templates for w in t.words})}
 
 
-def _starts(template: Template, idf: dict[str, float], hits: Column, words: Column, rare_words: int) -> Column:
-    """Starts of the template whose rare words and whole key phrase stand in place."""
-    key, at = template.key.split(), template.key_at
-    rare = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:rare_words]
-    anchor = rare[0]
-    proposed = F.transform(F.filter(hits, lambda h: h["word"] == key[anchor]), lambda h: h["pos"] - anchor)
-    inside = F.filter(proposed, lambda s: (s >= 0) & (s + len(key) <= F.size(words)))
-    rest = [*rare[1:], *(i for i in range(len(key)) if i not in rare)]
+POSTINGS = "map<string,array<struct<label:string,base:boolean,anchor:int,rare:array<struct<at:int,word:string>>,key:array<string>,key_at:int,words:array<string>,weights:array<double>,total:double>>>"
 
-    def aligned(s: Column) -> Column:
-        found = F.lit(True)
-        for i in rest:
-            found = found & (F.get(words, s + i) == key[i])
-        return found
 
-    return F.transform(F.filter(inside, aligned), lambda s: s - at)
+def postings(templates: list[Template], idf: dict[str, float], rare_words: int) -> dict[str, list[dict]]:
+    """Templates by the rarest word of their key phrase, with its place, those of the next rare words, and the weights of all words."""
+    index = defaultdict(list)
+    for t in templates:
+        key = t.key.split()
+        rare = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:rare_words]
+        weights = [idf[w] for w in t.words]
+        index[key[rare[0]]].append(
+            {"label": t.label, "base": t.base, "anchor": rare[0], "rare": [{"at": i, "word": key[i]} for i in rare[1:]], "key": key, "key_at": t.key_at, "words": t.words, "weights": weights, "total": sum(weights)}
+        )
+    return dict(index)
 
 
-def _coverage(template: Template, idf: dict[str, float], starts: Column, words: Column) -> Column:
-    """Largest IDF-weighted share of the template's words in place; null without a start."""
-    total = sum(idf[w] for w in template.words) or 1.0
+def _places(words: Column, index: dict[str, list[dict]]) -> Column:
+    """array<struct<label, base, start, share>>: every verified place, with the IDF-weighted share of the template's words that stand there."""
+    table, anchors = _literal(index, POSTINGS), _literal(sorted(index), "array<string>")
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda h: F.array_contains(anchors, h["word"]))
+    proposed = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(table, h["word"]), lambda p: F.struct(p.alias("t"), (h["pos"] - p["anchor"]).alias("at")))))
 
-    def share(s: Column) -> Column:
-        matched = F.lit(0.0)
-        for i, w in enumerate(template.words):
-            matched = matched + F.when((s + i >= 0) & (F.get(words, F.greatest(s + i, F.lit(0))) == w), idf[w]).otherwise(0.0)
-        return matched / total
+    def verified(c: Column) -> Column:
+        aligned = F.forall(c["t"]["rare"], lambda r: F.coalesce(F.get(words, c["at"] + r["at"]) == r["word"], F.lit(False)))
+        return (c["at"] >= 0) & aligned & (F.slice(words, F.greatest(c["at"], F.lit(0)) + 1, F.size(c["t"]["key"])) == c["t"]["key"])
 
-    return F.array_max(F.transform(starts, share))
+    def place(c: Column) -> Column:
+        t, start = c["t"], c["at"] - c["t"]["key_at"]
+        there = lambda i: F.coalesce((start + i >= 0) & (F.get(words, F.greatest(start + i, F.lit(0))) == F.get(t["words"], i)), F.lit(False))
+        matched = F.aggregate(F.sequence(F.lit(0), F.size(t["words"]) - 1), F.lit(0.0), lambda sum_, i: sum_ + F.when(there(i), F.get(t["weights"], i)).otherwise(0.0))
+        # Sums of shares in floating point may pass 1 by a last digit.
+        return F.struct(t["label"].alias("label"), t["base"].alias("base"), start.alias("start"), F.least(F.lit(1.0), matched / t["total"]).alias("share"))
+
+    return F.transform(F.filter(proposed, verified), place)
 
 
 def scan(docs: DataFrame, base: list[Template] = BASE, notices: list[Template] = NOTICES, rare_words: int = 3, least_coverage: float = 0.5) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     templates = [*base, *notices]
-    idf = template_idf(docs, templates)
-    anchors = sorted({max(t.key.split(), key=lambda w: (idf[w], -t.key.split().index(w))) for t in templates})
-    split = docs.select("doc_id", words_of(text_of()).alias("words"))
-    listed = F.array(*map(F.lit, anchors))
-    no_hits = F.array().cast("array<struct<pos:int,word:string>>")
-    found = split.withColumn(
-        "hits",
-        F.when(
-            F.arrays_overlap("words", listed),
-            F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda h: F.array_contains(listed, h["word"])),
-        ).otherwise(no_hits),
-    )
-    some = F.size("hits") > 0
-    names = {t: f"t{i}" for i, t in enumerate(templates)}
-    empty = F.array().cast("array<int>")
-    placed = found.select(
-        "doc_id", "words", "hits", *[F.when(some, _starts(t, idf, F.col("hits"), F.col("words"), rare_words)).otherwise(empty).alias(names[t]) for t in templates]
-    )
-    covered = placed.select(
-        "*", *[F.when(F.size(names[t]) > 0, _coverage(t, idf, F.col(names[t]), F.col("words"))).otherwise(0.0).alias(f"c_{names[t]}") for t in templates]
-    )
-    places = F.concat(*[F.col(names[t]) for t in base])
-    base_labels = F.array_compact(F.array(*[F.when(F.size(names[t]) > 0, t.label) for t in base]))
-    more = F.array_compact(F.array(*[F.when(F.col(f"c_{names[t]}") >= least_coverage, t.label) for t in notices]))
-    joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
-    return covered.select(
+    split = keep(split_texts(docs, templates), "license-words")
+    index = postings(templates, template_idf(split, templates), rare_words)
+    none = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double>>")
+    found = split.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), _places(F.col("words"), index)).otherwise(none).alias("places"))
+    of_base = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["start"])
+    labels = lambda which: F.array_join(F.sort_array(F.array_distinct(F.transform(F.filter("places", which), lambda p: p["label"]))), ",")
+    return found.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"),
-        joined(F.concat(base_labels, more)).alias("labels"),
-        # Sums of shares in floating point may pass 1 by a last digit.
-        F.least(F.lit(1.0), F.greatest(*[F.col(f"c_{names[t]}") for t in templates])).alias("score"),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.size(of_base).cast("long").alias("n_base"),
+        F.array_min(of_base).cast("long").alias("first_word"),
+        F.array_max(of_base).cast("long").alias("last_word"),
+        labels(lambda p: p["base"]).alias("base_labels"),
+        labels(lambda p: p["base"] | (p["share"] >= least_coverage)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
     )

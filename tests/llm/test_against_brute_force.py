@@ -304,7 +304,7 @@ def test_license_places(spark):
     phrases = {("gnu", "general", "public", "license"): "gpl", ("apache", "license"): "apache", ("cc", "by"): "cc-by", ("mit", "license"): "mit"}
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for r in queries.QUERIES["op7_license_scan"](spark, LARGER).filter("doc_id < 400 OR n_base > 0").collect():
-        text = duckdb.execute(f"SELECT text FROM '{LARGER}/documents.parquet' WHERE doc_id = ?", [r["doc_id"]]).fetchone()[0]
+        text = duckdb.execute(f"SELECT text FROM '{LARGER}/documents.parquet' WHERE doc_id = ?", [r["doc_id"]]).fetchall()[0][0]
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(upper))
         places = [(i, label) for i in range(len(words)) for p, label in phrases.items() if tuple(words[i : i + len(p)]) == p]
         starts = [i for i, _ in places]
@@ -320,8 +320,32 @@ def test_license_in_every_row(spark):
         assert [(r["base_labels"], r["labels"], r["score"]) for r in rows] == [("mit", "mit,mit-notice", 1.0)] * n
 
 
-def test_license_labels_and_scores_against_plain_search(spark, docs):
+def _many_templates(docs):
+    """Three hundred notices cut from texts, beside the usual ones."""
+    rng, made = random.Random(9), []
+    pool = [w for w in (re.findall(r"[0-9a-z]+", t.lower()) for _, t in docs) if len(w) > 30]
+    while len(made) < 300:
+        words = rng.choice(pool)
+        at, n = rng.randrange(len(words) - 20), rng.randint(4, 14)
+        own = words[at : at + n]
+        cut = rng.randrange(n - 2)
+        made.append(licenses.Template(f"own-{len(made)}", " ".join(own), " ".join(own[cut : cut + rng.randint(2, 5)])))
+    return [*licenses.NOTICES, *made]
+
+
+def test_the_plan_does_not_grow_with_the_templates(spark, docs):
+    def operations(notices):
+        texts = spark.createDataFrame(docs[:3], "doc_id long, text string")
+        plan = licenses.scan(texts, notices=notices)._jdf.queryExecution().optimizedPlan().toString()
+        return len(plan.splitlines()), plan.count("lambdafunction")
+
+    assert operations(licenses.NOTICES) == operations(_many_templates(docs))
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_license_labels_and_scores_against_plain_search(spark, docs, many):
     """Every template at every place, with IDF over the same rows."""
+    notices = _many_templates(docs) if many else licenses.NOTICES
     made = [
         "This work is licensed under the GNU General Public License version 3.",
         "gnu general public license, version 2; released under the MIT license",
@@ -337,11 +361,11 @@ def test_license_labels_and_scores_against_plain_search(spark, docs):
     words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(upper)) for i, t in texts.items()}
     having = Counter(w for own in words.values() for w in set(own))
     weight = lambda w: math.log((1 + len(texts)) / (1 + having[w])) + 1
-    found = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), notices=notices).collect()
     assert len(found) == len(texts)
     for r in found:
         own, labels, best = words[r["doc_id"]], set(), 0.0
-        for t in [*licenses.BASE, *licenses.NOTICES]:
+        for t in [*licenses.BASE, *notices]:
             key, whole = t.key.split(), sum(map(weight, t.words))
             starts = [i - t.key_at for i in range(len(own)) if own[i : i + len(key)] == key]
             share = max((sum(weight(w) for j, w in enumerate(t.words) if 0 <= s + j < len(own) and own[s + j] == w) / whole for s in starts), default=0.0)
