@@ -203,16 +203,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def ranked(cut_pieces: DataFrame, lengths: DataFrame, block_rows: int) -> DataFrame:
-    """Add ``rank`` (from 0) within length, with no task holding more than a few blocks."""
+    """Add ``rank`` (from 0) within length, with no task holding more than a few blocks.
+
+    ``cut_pieces`` is a written table: rows are dealt by their place in it, so that equal ones are dealt too.
+    """
     blocks = lengths.select(F.col("length").alias("__length"), F.ceil(F.col("n") / block_rows).alias("__blocks"))
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = cut_pieces.join(F.broadcast(blocks), F.col("length") == F.col("__length")).withColumn("__block", F.pmod(key, F.col("__blocks"))).drop("__length", "__blocks")
+    key = F.xxhash64("__file", "__at")
+    placed = cut_pieces.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    dealt = placed.join(F.broadcast(blocks), F.col("length") == F.col("__length")).withColumn("__block", F.pmod(key, F.col("__blocks"))).drop("__length", "__blocks")
     sizes = dealt.groupBy("length", "__block").count()
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "__block").orderBy("__file", "__at")
     numbered = dealt.withColumn("__row", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["length", "__block"]).withColumn("rank", F.col("__before") + F.col("__row")).drop("__block", "__before", "__row")
+    return numbered.join(starts, ["length", "__block"]).withColumn("rank", F.col("__before") + F.col("__row")).drop("__block", "__before", "__row", "__file", "__at")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_rows: int = 20_000) -> DataFrame:

@@ -426,6 +426,17 @@ def test_ranks_in_small_blocks(spark):
     _same_packing(rows, {i: f"w{i % 3}" for i in range(500)}, 16)
 
 
+def test_equal_rows_are_dealt_to_many_blocks(spark):
+    """A row repeated thousands of times fills no block beyond its share."""
+    cut = corpus_pipeline.keep(spark.range(0, 4000, 1, 4).selectExpr("CAST(1 AS BIGINT) AS doc_id", "0 AS piece", "CAST(0 AS BIGINT) AS start", "CAST(3 AS BIGINT) AS length", "CAST(7 AS BIGINT) AS ids_crc32"), "equal-pieces")
+    lengths = spark.createDataFrame([(3, 4000)], "length long, n long")
+    ranks = packing.ranked(cut, lengths, 100)
+    assert sorted(r["rank"] for r in ranks.collect()) == list(range(4000))
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    dealt = cut.select(F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(40)).alias("b")).groupBy("b").count().collect()
+    assert "row_index" in plan and len(dealt) == 40 and max(r["count"] for r in dealt) < 200
+
+
 # 9 ---------------------------------------------------------------------------
 
 
