@@ -8,8 +8,7 @@ coordinate, and the earliest one per coordinate is the signature. Two signatures
 agree in a coordinate with the weighted Jaccard similarity as probability.
 
 Candidates share a band of coordinates. Texts with one set of shingles are one node,
-however many they are, and lists with the same members are compared once. There are
-three rounds at most:
+however many they are, and lists with the same members are compared once. It goes in rounds:
 
 1. The nodes of a band are compared in full if they are few. Else every one is
    compared with their hub, the node with the fewest shingles.
@@ -21,16 +20,16 @@ three rounds at most:
    similar to U lacks at most n - 0.8 n of U's n shingles, so the rarest that both have
    comes before U could have missed more. What so is left of one hub's nodes is
    compared in full, up to ``small_rest`` nodes; beyond, those that share a shingle are
-   compared with a hub of their own.
-3. What these second hubs leave in the same way is compared in full, whatever its
+   compared with a hub of their own, whose rest is treated in the same way.
+3. After ``hub_rounds`` such rounds what is left is compared in full, whatever its
    number.
 
 A long list is cut into parts, and any two parts meet in one tile of bounded size.
 So no link between nodes that share a band is lost. Similarity is verified on whole
-shingle sets, and nodes of one component are never compared again. The first two
-rounds take at most a fixed number of comparisons for each node and list; the third
-takes the square of what two hubs left, nodes neither similar to a hub nor different
-enough beside it.
+shingle sets, and nodes of one component are never compared again. The rounds with hubs
+take at most a fixed number of comparisons for each node and list; the last takes the
+square of what is left after all of them, nodes neither similar to any of their hubs nor
+different enough beside it.
 
 Defined cases: texts equal byte by byte, empty and null ones included, share a class;
 a text of fewer than five words is one shingle of all of them; texts without a word
@@ -213,6 +212,8 @@ class Settings:
     #: Lists of at most so many nodes are compared in full: those of bands, then what one hub left.
     small_bucket: int = 16
     small_rest: int = 2000
+    #: Rounds in which what a hub left may get hubs of its own.
+    hub_rounds: int = 4
     #: Longer lists than two sides are compared in tiles of about two sides of nodes.
     side: int = 250
 
@@ -462,7 +463,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(node, component) of all nodes that have a link: three rounds at most, see the module's text."""
+    """(node, component) of all nodes that have a link, in the rounds of the module's text."""
     lists = _distinct_lists(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("component")))
     members = lists.select("node").distinct()
     sets = shingle_sets(docs, members.join(nodes.select("node", "source", (F.col("n") > 1).alias("repeated")), "node"), settings)
@@ -481,16 +482,17 @@ def link(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
         return (labels if links.isEmpty() else components(links.union(known))), stars
 
     labels, stars = round_(lists.filter(F.col("n") <= settings.small_bucket), lists.filter(F.col("n") > settings.small_bucket), None)
-    if stars.isEmpty():
-        return labels
-    met = keep(_meetings(stars, labels), "met")
-    rest = _distinct_lists(_of_hubs(met))
-    crowded = keep(rest.filter(F.col("n") > settings.small_rest).select(F.col("bucket").alias("hub")).distinct(), "crowded")
-    if crowded.isEmpty():
-        return round_(rest, None, labels)[0]
-    large = _distinct_lists(met.join(crowded, "hub", "left_semi").select("bucket", "node", "component"))
-    labels, stars = round_(rest.filter(F.col("n") <= settings.small_rest), large, labels)
-    return round_(_distinct_lists(_of_hubs(_meetings(stars, labels))), None, labels)[0]
+    for left in reversed(range(settings.hub_rounds)):
+        if stars.isEmpty():
+            return labels
+        met = keep(_meetings(stars, labels), "met")
+        rest = _distinct_lists(_of_hubs(met))
+        crowded = keep(rest.filter(F.col("n") > settings.small_rest).select(F.col("bucket").alias("hub")).distinct(), "crowded")
+        if not left or crowded.isEmpty():
+            break
+        large = _distinct_lists(met.join(crowded, "hub", "left_semi").select("bucket", "node", "component"))
+        labels, stars = round_(rest.filter(F.col("n") <= settings.small_rest), large, labels)
+    return round_(rest, None, labels)[0]
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -100,7 +100,7 @@ def test_near_classes_in_large_buckets(spark):
         rows += [(len(rows) + i, " ".join(passage + fresh(55 + group))) for i in range(5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for small in (2, 16):
-        settings = near_dedup.Settings(small_bucket=small, small_rest=4, side=3)
+        settings = near_dedup.Settings(small_bucket=small, small_rest=4, side=3, hub_rounds=small)
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame, settings).collect()} == _classes(rows)
 
 
@@ -115,8 +115,8 @@ def test_near_classes_of_texts_smaller_than_others(spark):
     wanted = _classes(rows)
     assert len(set(wanted.values())) > 3
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for rest in (2, 1000):
-        settings = near_dedup.Settings(bands=1, rows=1, small_bucket=2, small_rest=rest, side=4)
+    for rest, rounds in ((2, 1), (2, 2), (2, 5), (1000, 4)):
+        settings = near_dedup.Settings(bands=1, rows=1, small_bucket=2, small_rest=rest, side=4, hub_rounds=rounds)
         # One band alone, in which all truncations meet: other bands cannot make up for a hub.
         signed = near_dedup.sign(frame, settings).withColumn("bands", F.array(F.floor(F.col("doc_id") / 35)))
         nodes = near_dedup.nodes_of(signed)
