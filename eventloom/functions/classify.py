@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import normalized, word
+from eventloom.functions.text import word
 
 # Keyword lists of the tags.
 KEYWORDS = {
@@ -237,12 +237,9 @@ def venue_category(types: Column) -> Column:
     )
 
 
+# Price levels of places, from 0.
 PRICE_LEVELS = ["PRICE_LEVEL_FREE", "PRICE_LEVEL_INEXPENSIVE", "PRICE_LEVEL_MODERATE", "PRICE_LEVEL_EXPENSIVE", "PRICE_LEVEL_VERY_EXPENSIVE"]
 
 
 def price_level(level: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(PRICE_LEVELS) for x in (name, i)]), level)
-
-
-def same_words(a: Column, b: Column) -> Column:
-    return normalized(a) == normalized(b)

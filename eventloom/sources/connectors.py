@@ -69,18 +69,18 @@ ESPN = """struct<events:array<struct<id:string,name:string,shortName:string,date
 
 # Neighbouring states.
 STATE_NEIGHBORS = {
-    "AL": "GA FL MS TN", "AK": "", "AZ": "NM CA NV UT", "AR": "LA MS MO OK TN TX", "CA": "AZ NV OR", "CO": "KS NE NM OK UT WY", "CT": "MA NY RI", "DE": "MD NJ PA", "DC": "MD VA", "FL": "AL GA",
-    "GA": "AL FL NC SC TN", "HI": "", "ID": "MT NV OR UT WA WY", "IL": "IN IA KY MO WI", "IN": "IL KY MI OH", "IA": "IL MN MO NE SD WI", "KS": "CO MO NE OK", "KY": "IL IN MO OH TN VA WV",
-    "LA": "AR MS TX", "ME": "NH", "MD": "DE DC PA VA WV", "MA": "CT NH NY RI VT", "MI": "IN OH WI", "MN": "IA ND SD WI", "MS": "AL AR LA TN", "MO": "AR IL IA KS KY NE OK TN", "MT": "ID ND SD WY",
-    "NE": "CO IA KS MO SD WY", "NV": "AZ CA ID OR UT", "NH": "ME MA VT", "NJ": "DE NY PA", "NM": "AZ CO OK TX UT", "NY": "CT MA NJ PA VT", "NC": "GA SC TN VA", "ND": "MN MT SD",
-    "OH": "IN KY MI PA WV", "OK": "AR CO KS MO NM TX", "OR": "CA ID NV WA", "PA": "DE MD NJ NY OH WV", "RI": "CT MA", "SC": "GA NC", "SD": "IA MN MT ND NE WY", "TN": "AL AR GA KY MS MO NC VA",
-    "TX": "AR LA NM OK", "UT": "AZ CO ID NM NV WY", "VT": "MA NH NY", "VA": "KY MD NC TN WV DC", "WA": "ID OR", "WV": "KY MD OH PA VA", "WI": "IA IL MI MN", "WY": "CO ID MT NE SD UT",
+    "AL": ["GA", "FL", "MS", "TN"], "AK": [], "AZ": ["NM", "CA", "NV", "UT"], "AR": ["LA", "MS", "MO", "OK", "TN", "TX"], "CA": ["AZ", "NV", "OR"], "CO": ["KS", "NE", "NM", "OK", "UT", "WY"], "CT": ["MA", "NY", "RI"], "DE": ["MD", "NJ", "PA"], "DC": ["MD", "VA"], "FL": ["AL", "GA"],
+    "GA": ["AL", "FL", "NC", "SC", "TN"], "HI": [], "ID": ["MT", "NV", "OR", "UT", "WA", "WY"], "IL": ["IN", "IA", "KY", "MO", "WI"], "IN": ["IL", "KY", "MI", "OH"], "IA": ["IL", "MN", "MO", "NE", "SD", "WI"], "KS": ["CO", "MO", "NE", "OK"], "KY": ["IL", "IN", "MO", "OH", "TN", "VA", "WV"],
+    "LA": ["AR", "MS", "TX"], "ME": ["NH"], "MD": ["DE", "DC", "PA", "VA", "WV"], "MA": ["CT", "NH", "NY", "RI", "VT"], "MI": ["IN", "OH", "WI"], "MN": ["IA", "ND", "SD", "WI"], "MS": ["AL", "AR", "LA", "TN"], "MO": ["AR", "IL", "IA", "KS", "KY", "NE", "OK", "TN"], "MT": ["ID", "ND", "SD", "WY"],
+    "NE": ["CO", "IA", "KS", "MO", "SD", "WY"], "NV": ["AZ", "CA", "ID", "OR", "UT"], "NH": ["ME", "MA", "VT"], "NJ": ["DE", "NY", "PA"], "NM": ["AZ", "CO", "OK", "TX", "UT"], "NY": ["CT", "MA", "NJ", "PA", "VT"], "NC": ["GA", "SC", "TN", "VA"], "ND": ["MN", "MT", "SD"],
+    "OH": ["IN", "KY", "MI", "PA", "WV"], "OK": ["AR", "CO", "KS", "MO", "NM", "TX"], "OR": ["CA", "ID", "NV", "WA"], "PA": ["DE", "MD", "NJ", "NY", "OH", "WV"], "RI": ["CT", "MA"], "SC": ["GA", "NC"], "SD": ["IA", "MN", "MT", "ND", "NE", "WY"], "TN": ["AL", "AR", "GA", "KY", "MS", "MO", "NC", "VA"],
+    "TX": ["AR", "LA", "NM", "OK"], "UT": ["AZ", "CO", "ID", "NM", "NV", "WY"], "VT": ["MA", "NH", "NY"], "VA": ["KY", "MD", "NC", "TN", "WV", "DC"], "WA": ["ID", "OR"], "WV": ["KY", "MD", "OH", "PA", "VA"], "WI": ["IA", "IL", "MI", "MN"], "WY": ["CO", "ID", "MT", "NE", "SD", "UT"],
 }
 
 
 def in_region(state: Column, user_state: str) -> Column:
     """The user's state or a neighbour of it."""
-    return F.coalesce(F.upper(state).isin([user_state, *STATE_NEIGHBORS.get(user_state, "").split()]), F.lit(False))
+    return F.coalesce(F.upper(state).isin([user_state, *STATE_NEIGHBORS.get(user_state, [])]), F.lit(False))
 
 
 def espn(payloads: DataFrame, user_state: str, now: Column) -> DataFrame:
