@@ -392,7 +392,11 @@ def validate_gates(spark, sf_dir):
     )
 
 
-@query("hash_event_ids")
+@query(
+    "hash_event_ids",
+    """SELECT user_id, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, x: xor(h, x) * 16777619 % 4294967296)) AS ids_hash
+FROM (SELECT user_id, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR)) AS s FROM events GROUP BY user_id)""",
+)
 def hash_event_ids(spark, sf_dir):
     """One hash per user's events."""
     own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("event_id").cast("string")).alias("ids"))

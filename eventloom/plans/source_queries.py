@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.plans.feed_queries import now_column
-from eventloom.plans.views import FEED_SQL, feed_events, table
+from eventloom.plans.views import FEED_SQL, feed_events, sql_text, table
 from eventloom.sources import connectors, generators
 
 QUERIES: dict = {}
@@ -22,14 +22,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("source_event_pages")
+def _links_sql(more: str) -> str:
+    """Links of pages with something appended; the pages' own are all of the form /path."""
+    html, a = f"(html || '{more}')", "'(?is)<a[^>]*href=[\"'']([^\"'']+)[\"''][^>]*>(.*?)</a>'"
+    return f"""links AS (
+  SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all({html}, {a}, 1)) AS href, unnest(regexp_extract_all({html}, {a}, 2)) AS label, generate_subscripts(regexp_extract_all({html}, {a}, 1), 1) AS pos FROM pages
+), texts AS (SELECT *, lower(href || ' ' || trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM links WHERE origin <> '')"""
+
+
+_POINTS = " + ".join([f"CASE WHEN regexp_matches(regexp_replace(href, '[?#].*$', ''), '{generators.EVENT_PATH}') THEN 6 ELSE 0 END", *[f"CASE WHEN contains(t, {sql_text(w)}) THEN {4 if ' ' in w else 3} ELSE 0 END" for w in generators.LINK_WORDS]])
+
+
+@query(
+    "source_event_pages",
+    f"""WITH {_links_sql('<a href="/calendar/">Events calendar</a><a href="/shows">Shows</a>')}, scored AS (SELECT page_id, origin || href AS event_url, pos, {_POINTS} AS score FROM texts WHERE NOT regexp_matches(t, '{"|".join(generators.NO_LINK_WORDS)}'))
+SELECT page_id, event_url, CAST(score AS INTEGER) AS score FROM scored WHERE score >= 4 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1""",
+)
 def source_event_pages(spark, sf_dir):
     """The best event link per page."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit('<a href="/calendar/">Events calendar</a><a href="/shows">Shows</a>')))
     return generators.event_pages(pages)
 
 
-@query("source_athletics_pages")
+@query("source_athletics_pages", f"""WITH {_links_sql('<a href="/team/athletics">Teams</a>')} SELECT page_id, arg_min(origin || href, pos) AS athletics_url FROM texts WHERE regexp_matches(t, 'athletic|sports') GROUP BY page_id""")
 def source_athletics_pages(spark, sf_dir):
     """G5."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit('<a href="/team/athletics">Teams</a>')))
