@@ -65,3 +65,23 @@ def same_rows(df, connection, sql: str) -> None:
     spark_rows = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=repr)
     duck_rows = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in found.fetchall()), key=repr)
     assert spark_rows == duck_rows
+
+
+def executions(spark) -> int:
+    """How many SQL executions the session has had."""
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def rows_of(spark, kind: str, after: int) -> list[int]:
+    """Output rows of the plan's nodes of a kind (Join, Generate) in executions later than so many."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = []
+    for n in range(after, store.executionsCount()):
+        execution = store.executionsList().apply(n).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if kind in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return found

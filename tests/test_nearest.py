@@ -8,7 +8,7 @@ import pytest
 
 from eventloom.functions.geo import RADIUS_MILES
 from eventloom.operators import nearest
-from tests.conftest import SF
+from tests.conftest import SF, executions, rows_of
 
 
 def miles(a, b):
@@ -51,21 +51,6 @@ def test_schools_take_part_only_with_a_website(spark):
     assert rows and max(r["rank"] for r in rows) == 8
 
 
-def rows_of_joins(spark, after):
-    """Output rows of the joins in executions later than so many."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    found = []
-    for n in range(after, store.executionsCount()):
-        execution = store.executionsList().apply(n).executionId()
-        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
-        for node in (nodes.apply(i) for i in range(nodes.size())):
-            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
-                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
-                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
-    return found
-
-
 def test_a_point_meets_few_places_in_and_outside_a_dense_town(spark):
     """Cells of one size met all places of the town from everywhere near it."""
     from pyspark.sql import functions as F
@@ -74,10 +59,10 @@ def test_a_point_meets_few_places_in_and_outside_a_dense_town(spark):
     places = spark.range(20_000).select(i.alias("place_id"), (26.0 + i * 7919 % 20011 / F.lit(1e5)).alias("plat"), (-80.0 + i * 104729 % 20021 / F.lit(1e5)).alias("plng"))
     places = places.union(spark.range(20_000, 22_000).select(i, F.lit(26.05), F.lit(-80.1)))  # copies of one spot
     points = spark.range(300).select("id", (25.6 + i * 37 % 300 / F.lit(300.0)).alias("lat"), (-80.4 + i * 53 % 300 / F.lit(300.0)).alias("lng"))
-    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = executions(spark)
     found = nearest.nearest(points, places, 8, 40.0)
     assert found.count() == 300 * 8
-    rows = rows_of_joins(spark, before)
+    rows = rows_of(spark, "Join", before)
     assert rows and max(rows) < 300 * 400
     at = {r["place_id"]: (r["plat"], r["plng"]) for r in places.collect()}
     for p in points.filter("id % 60 = 7").collect():

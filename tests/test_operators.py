@@ -10,7 +10,7 @@ from eventloom.operators import feed, resolve, spatial, telemetry
 from eventloom.plans.views import NOW, feed_events
 from eventloom.sources import tables
 from eventloom.streaming import state
-from tests.conftest import SF
+from tests.conftest import SF, executions, rows_of
 
 T0 = dt.datetime(2024, 1, 15, 20)
 
@@ -145,6 +145,26 @@ def test_spatial_join_against_all_pairs(spark):
     assert found == {(r["id"], r["place_id"]) for r in whole.collect()} and found
 
 
+def test_spatial_join_works_once_per_pair_of_spots(spark, monkeypatch):
+    """Many points at few spots: cells are per spot, not per point, and blocks of a spot lose and repeat no pair."""
+    i = F.col("id")
+    points = spark.range(20_000).select("id", (26.0 + i % 20 / F.lit(100.0)).alias("lat"), F.lit(-80.0).alias("lng"))
+    places = spark.range(10).select(i.alias("place_id"), (26.0 + i % 5 / F.lit(50.0)).alias("plat"), F.lit(-80.01).alias("plng"))
+    places = places.union(spark.createDataFrame([(90, None, 1.0)], "place_id long, plat double, plng double"))
+    monkeypatch.setattr(spatial, "BLOCK", 300, raising=False)
+    before = executions(spark)
+    found = spatial.within_distance(points, places, 2.0)
+    from eventloom.functions.geo import haversine_miles
+
+    miles = haversine_miles(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"))
+    wanted = points.crossJoin(places).filter(miles <= 2.0).select("id", "place_id", F.round(miles, 9).alias("miles"))
+    found.groupBy("id").count().collect()
+    rows = rows_of(spark, "Generate", before)
+    assert rows and max(rows) < 20_000
+    pairs = found.select("id", "place_id", F.round("miles", 9).alias("miles"))
+    assert pairs.exceptAll(wanted).isEmpty() and wanted.exceptAll(pairs).isEmpty() and not wanted.isEmpty()
+
+
 def test_upsert_files(spark, tmp_path):
     path = str(tmp_path / "t")
     assert tables.write_upsert(spark, path, spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"), ["k"]) == 1
