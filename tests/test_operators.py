@@ -106,6 +106,16 @@ def test_no_join_of_a_whole_block(spark):
     assert joins and all(j.count(" = ") >= 2 for j in joins)
 
 
+def test_pairs_of_a_title_of_many_rows_come_in_blocks(spark, monkeypatch):
+    """Titles are cleaned once, before rows meet; blocks of a title lose and repeat no pair."""
+    monkeypatch.setattr(resolve, "BLOCK", 7, raising=False)
+    titles = ["Jazz Night"] * 40 + ["Jazz Night Late"] * 25 + ["Chess", None]
+    rows = [(i, t, i % 2) for i, t in enumerate(titles)]
+    found = resolve.similar_pairs(spark.createDataFrame(rows, "id long, title string, hall int"), ["hall"], F.lit(""))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(65) for b in range(a + 1, 65) if a % 2 == b % 2]
+
+
 def test_rows(spark):
     few = events(spark, [{"is_free": True}])
     four = events(spark, [{"is_free": True}] * 4)
