@@ -42,8 +42,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Punctuation that ends a word; the pre-tokeniser parts it from the letters before it.
 WORD_ENDS = ".,;:!?"
-#: A line break between two visible characters is a token run of its own.
-LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+#: A line break between two visible characters is a token run of its own. It stands first, so that the search goes from break to break.
+LONE_BREAK = re.compile(r"\n(?<=\S\n)(?=\S)")
 
 
 class Remembered(dict):
@@ -98,7 +98,8 @@ class TextIds:
 def chunks(text: str) -> list[str]:
     """Cut before every space that follows a visible character; the space itself goes."""
     parts = text.split(" ")
-    if len(parts) < 2 or parts == text.split():  # single spaces between words, and no other white space
+    # Single spaces between words, and no other white space: none of that can be printed.
+    if len(parts) < 2 or (text.isprintable() and "  " not in text and parts[0] and parts[-1]) or parts == text.split():
         return parts
     joined = parts[:1]
     for part in parts[1:]:
@@ -130,10 +131,13 @@ def tokenizer(path: str) -> TextIds:
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
         letters, pack_ids = byte_letters(), lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        space = letters[ord(" ")]
+        # Of a word's ASCII bytes, only the space before it is hidden.
+        spelt = lambda word: word.replace(" ", space) if word.isascii() else word.encode().decode("latin-1").translate(letters)
         _loaded[path] = TextIds(
             lambda text: pack_ids(own.encode(text, add_special_tokens=False).ids),
             # What is one run for the pre-tokeniser goes to its model at once.
-            lambda word: pack_ids([t.id for t in own.model.tokenize(word.encode().decode("latin-1").translate(letters))]),
+            lambda word: pack_ids([t.id for t in own.model.tokenize(spelt(word))]),
         )
     return _loaded[path]
 

@@ -75,3 +75,24 @@ def test_packing_edges(edge_docs, no_docs):
 def test_pipeline_stages_on_empty_tables(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, "").count() == 0
+
+
+def test_packing_reads_plain_lines_once_and_odd_space_as_the_tokenizer():
+    import struct
+
+    from tokenizers import Tokenizer
+
+    class Counted(str):
+        bare = 0
+
+        def split(self, *by):
+            Counted.bare += not by
+            return str.split(self, *by)
+
+    assert packing.chunks(Counted("single spaces, and no other")) == ["single", "spaces,", "and", "no", "other"] and Counted.bare == 0
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole, own = Tokenizer.from_file(path), packing.tokenizer(path)
+    whole.encode_special_tokens = True
+    for text in ("a b", " a  b ", "a\u00a0b c", "a\x1cb c", "a\u200bb c", "a\nb\n\nc\n", "\na \n b\n c", "a\r\nb", "a\u2003\nb", "Füße, café naïve! e\u0301 x", "a\t b", "", " ", "\n"):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert own.of(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
