@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import geo
-from eventloom.operators.feed import numbered
 from eventloom.sources.tables import keep, passing
 
 #: Boxes in a box, and the least number of places in one of the smallest.
 FAN = 16
+#: Most boxes that are sent to all tasks.
+MOST_SENT = 1 << 19
+#: The part of Spark's increasing ids that counts within a partition.
+IN_RANGE = (1 << 33) - 1
 #: By so much bounds are widened, since sines are rounded.
 SLACK = 1e-9
 
@@ -44,10 +47,31 @@ def _along_curve(places: DataFrame, size: float) -> DataFrame:
     return places.withColumn("cell", F.col("__x").bitwiseOR(F.shiftleft("__y", 1))).drop("__x", "__y")
 
 
+def _packed(places: DataFrame, size: float, most: int) -> DataFrame:
+    """Write the places in ranges of the curve, and add ``leaf``: the number of the smallest box, a run of at most so many places of a range."""
+    curve = ["cell", "plat", "plng"]
+    placed = _along_curve(places, size).repartitionByRange(*curve).sortWithinPartitions(*curve, "place_id")
+    placed = placed.select("place_id", "plat", "plng", F.monotonically_increasing_id().alias("n"))  # a range's number, then its places from 0
+    return keep(placed.select("place_id", "plat", "plng", (F.col("n") - F.col("n").bitwiseAND(F.lit(IN_RANGE)) % most).alias("leaf")), "places")
+
+
+def _leaves(packed: DataFrame, most: int) -> DataFrame:
+    """Write the smallest boxes; ``node`` counts them along the curve without gaps."""
+    boxes = packed.groupBy("leaf").agg(F.min("plat").alias("south"), F.max("plat").alias("north"), F.min("plng").alias("west"), F.max("plng").alias("east"), F.count(F.lit(1)).alias("n"))
+    boxes = boxes.withColumn("range", F.col("leaf") - F.col("leaf").bitwiseAND(F.lit(IN_RANGE)))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = boxes.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    node = F.col("start") + F.floor((F.col("leaf") - F.col("range")) / most)
+    return keep(boxes.join(F.broadcast(starts), "range").select("leaf", node.cast("long").alias("node"), "south", "north", "west", "east", "n"), "boxes")
+
+
 def _boxes(leaves: DataFrame, level: int) -> DataFrame:
     """The boxes so many levels above the smallest, with the number of the box around each."""
     node = F.floor(F.col("node") / FAN**level).cast("long")
-    own = leaves.groupBy(node.alias("node")).agg(*[f(c).alias(c) for f, c in ((F.min, "south"), (F.max, "north"), (F.min, "west"), (F.max, "east"), (F.sum, "n"))])
+    own = leaves
+    if level:
+        own = leaves.groupBy(node.alias("node")).agg(*[f(c).alias(c) for f, c in ((F.min, "leaf"), (F.min, "south"), (F.max, "north"), (F.min, "west"), (F.max, "east"), (F.sum, "n"))])
     cosines = [F.cos(F.radians(c)) for c in ("south", "north")]
     most = F.when((F.col("south") <= 0) & (F.col("north") >= 0), 1.0).otherwise(F.greatest(*cosines))
     return own.withColumns({"around": F.floor(F.col("node") / FAN).cast("long"), "least_cos": F.least(*cosines), "most_cos": most})
@@ -73,22 +97,27 @@ def nearest(points: DataFrame, places: DataFrame, k: int, most_miles: float = fl
         at_spot = F.row_number().over(Window.partitionBy("plat", "plng").orderBy("place_id"))
         there = places.select("place_id", F.col("plat").cast("double").alias("plat"), F.col("plng").cast("double").alias("plng")).filter(valid("plat", "plng"))
         there = there.withColumn("nth", at_spot).filter(F.col("nth") <= k).drop("nth")
-        placed = numbered(_along_curve(there, first_cell), [F.col(c) for c in ("cell", "plat", "plng", "place_id")], "n")
-        packed = keep(placed.select("place_id", "plat", "plng", F.floor((F.col("n") - 1) / max(FAN, k)).cast("long").alias("node")), "places")
-        leaves = keep(packed.groupBy("node").agg(F.min("plat").alias("south"), F.max("plat").alias("north"), F.min("plng").alias("west"), F.max("plng").alias("east"), F.count(F.lit(1)).alias("n")), "boxes")
-        levels = next(n for n in range(64) if FAN ** (n + 1) >= leaves.count())
+        packed = _packed(there, first_cell, max(FAN, k))
+        leaves = _leaves(packed, max(FAN, k))
+        n_leaves, n_spots = leaves.count(), spots.count()
+        levels = next(n for n in range(64) if FAN ** (n + 1) >= n_leaves)
         # Few rows become many, so their bytes do not tell how many tasks they need.
-        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + spots.count() // 1000)
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_spots // 1000)
         lat, lng = F.col("lat"), F.col("lng")
         whole = math.sin(min(most_miles / (2 * geo.RADIUS_MILES), math.pi / 2)) ** 2
         open_boxes = spots.repartition(tasks, "spot").select("spot", lat, lng, F.lit(whole * (1 + SLACK)).alias("most"), F.lit(0).cast("long").alias("around"))
         for level in reversed(range(levels + 1)):
             least, most = _least_and_most(lat, lng)
-            met = open_boxes.join(_boxes(leaves, level), "around").select("spot", lat, lng, "most", "node", "n", least.alias("least"), most.alias("farthest")).filter(F.col("least") <= F.col("most"))
+            boxes = _boxes(leaves, level)
+            # Boxes that are sent to all tasks leave a spot's rows where they are, in their order.
+            boxes = F.broadcast(boxes) if n_leaves <= MOST_SENT * FAN**level else boxes
+            met = open_boxes.join(boxes, "around").select("spot", lat, lng, "most", "node", "leaf", "n", least.alias("least"), most.alias("farthest")).filter(F.col("least") <= F.col("most"))
             ended = F.min(F.when(F.col("n") >= k, F.col("farthest") * (1 + SLACK) + 1e-18)).over(Window.partitionBy("spot"))
             met = met.withColumn("most", F.least("most", ended)).filter(F.col("least") <= F.col("most"))
-            open_boxes = met.select("spot", lat, lng, "most", F.col("node").alias("around"))
-        met = open_boxes.withColumnRenamed("around", "node").join(packed, "node").withColumn("miles", geo.haversine_miles(lat, lng, F.col("plat"), F.col("plng"))).filter(F.col("miles") <= most_miles)
+            open_boxes = met.select("spot", lat, lng, "most", F.col("node").alias("around"), "leaf").drop(*(["leaf"] if level else ["around"]))
+        # What lies beyond the nearest box of k places is left out before it is sorted.
+        term = _haversine(lat, F.col("plat") - lat, F.cos(F.radians("plat")), F.col("plng") - lng)
+        met = open_boxes.join(packed, "leaf").filter(term <= F.col("most")).withColumn("miles", geo.haversine_miles(lat, lng, F.col("plat"), F.col("plng"))).filter(F.col("miles") <= most_miles)
         # Spark cuts each task's rows to the first k of a spot before it shuffles them.
         nth = F.row_number().over(Window.partitionBy("spot").orderBy("miles", "place_id"))
         best = met.select("spot", "place_id", "miles", nth.alias("rank")).filter(F.col("rank") <= k)

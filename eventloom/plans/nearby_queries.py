@@ -77,11 +77,12 @@ FROM games WHERE start_time > {TS} - INTERVAL 1 HOUR""",
 def source_school_games(spark, sf_dir):
     """Games that a model read on the chosen schools' pages, at the schools' coordinates."""
     near, schools = _near(spark, sf_dir)
-    chosen = schools.join(near.select("place_id").distinct(), "place_id", "left_semi")
+    # Equal rows are one, and all are dealt anew: few tasks may have read them, and reading pages takes longer.
+    chosen = schools.join(near.select("place_id").distinct(), "place_id", "left_semi").distinct()
     i = F.col("place_id")
     sub = F.when(i % 4 == 0, "null").otherwise('"football"')
     output = F.concat(F.lit("Found: "), F.format_string(_GAME, "name", pick(_TOWNS, F.floor(i / 5)), sub, 10 + i % 19, F.when(i % 3 == 0, ', "is_free": false').otherwise("")))
-    games = connectors.school_games(chosen.select("place_id", output.alias("output")), chosen, now_column())
+    games = connectors.school_games(chosen.withColumn("output", output), now_column())
     return games.select("source_id", "title", "description", "subcategory", "lat", "lng", "address", "start_time", "is_free")
 
 

@@ -68,3 +68,50 @@ def test_a_point_meets_few_places_in_and_outside_a_dense_town(spark):
     for p in points.filter("id % 60 = 7").collect():
         wanted = sorted((round(miles((p["lat"], p["lng"]), s), 6), q) for q, s in at.items())[:8]
         assert [round(r["miles"], 6) for r in found.filter(F.col("id") == p["id"]).orderBy("rank").collect()] == [d for d, _ in wanted]
+
+
+def shuffled(spark, after: int) -> int:
+    """Rows written to shuffles in executions later than so many."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = 0
+    for n in range(after, store.executionsCount()):
+        execution = store.executionsList().apply(n).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for metrics in (nodes.apply(i).metrics() for i in range(nodes.size())):
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                    found += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return found
+
+
+def test_boxes_go_to_the_points(spark):
+    """Where Spark sends no table by itself, each level shuffled all boxes that a point meets, and all places near it were sorted."""
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    places = spark.range(20_000).select(i.alias("place_id"), (26.0 + i * 7919 % 20011 / F.lit(1e5)).alias("plat"), (-80.0 + i * 104729 % 20021 / F.lit(1e5)).alias("plng"))
+    points = spark.range(1_000).select("id", (26.0 + i * 37 % 1009 / F.lit(5e3)).alias("lat"), (-80.0 + i * 53 % 1013 / F.lit(5e3)).alias("lng"))
+    before, most = executions(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert nearest.nearest(points, places, 8, 40.0).count() == 1_000 * 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    rows = shuffled(spark, before)
+    assert 0 < rows < 120_000
+
+
+def test_games_read_the_schools_once_and_name_a_game_once(spark, tmp_path):
+    import duckdb
+
+    from eventloom.plans import nearby_queries
+    from tests.conftest import same_rows
+
+    own = duckdb.connect()
+    for name, times in (("customer", 2), ("supplier", 1)):
+        own.execute(f"COPY (SELECT t.* FROM '{SF}/{name}.parquet' t, range({times})) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        own.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    games = nearby_queries.QUERIES["source_school_games"](spark, str(tmp_path))
+    same_rows(games, own, nearby_queries.ORACLE_SQL["source_school_games"])
+    assert games._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet [c_custkey") == 1
