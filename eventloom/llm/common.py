@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.sources.tables import delete, discard, exists, keep, passing, shared_dir
 
-__all__ = ["BLANKS", "WORDS", "arrow_rows", "delete", "discard", "exists", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
+__all__ = ["BLANKS", "WORDS", "arrow_rows", "light_driver", "delete", "discard", "exists", "is_held_out", "keep", "lower_ascii", "passing", "shared_dir", "text_of", "word_count"]
 
 #: White space and words of the digest contracts: ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -31,6 +31,29 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Tables of more bytes are not sent through the driver; in its memory they take about ten times as much as written.
+MOST_SENT = 256 * 1024
+#: Keys by which the driver finds each range of a sorted table.
+SAMPLED = 10
+
+
+@contextmanager
+def light_driver(spark: SparkSession) -> Iterator[None]:
+    """What runs within this block sends only small tables through the driver, and sorts by few sampled keys a partition."""
+    sent, sampled, later = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.rangeExchange.sampleSizePerPartition", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = {name: spark.conf.get(name) for name in (sent, sampled)}
+    if (own := spark.conf.get(later, None)) is not None:
+        before[later] = own
+    try:
+        for name, value in before.items():
+            spark.conf.set(name, str(min(SAMPLED, int(value)) if name == sampled else min(MOST_SENT, as_bytes(value))))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

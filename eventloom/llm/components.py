@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import keep
 
 
-def _hang(edges: DataFrame, only_larger: bool) -> DataFrame:
-    """Of edges (u, v): each v to the smallest of u and its neighbours; with ``only_larger``, only v > u."""
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Of each u of edges (u, v): m, the smallest of u and its neighbours; ``hangs`` on so many smaller ones, ``holds`` larger ones."""
+    hangs, holds = F.sum((F.col("v") < F.col("u")).cast("int")).alias("hangs"), F.max(F.col("v") > F.col("u")).alias("holds")
     # Written first, so that the join reads two tables.
-    lowest = keep(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "lowest")
+    return keep(edges.groupBy("u").agg(F.min("v").alias("m"), hangs, holds).withColumn("m", F.least("u", "m")), "lowest")
+
+
+def _hang(edges: DataFrame, lowest: DataFrame, only_larger: bool) -> DataFrame:
+    """Of edges (u, v): each v to the smallest of u and its neighbours; with ``only_larger``, only v > u."""
+    lowest = lowest.select("u", "m")
     joined = edges.join(lowest, "u")
     moved = joined.filter("v > u").select("v", "m") if only_larger else joined.select("v", "m").union(lowest.select(F.col("u").alias("v"), "m"))
     return moved.filter("v <> m").distinct().select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -27,13 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node (links: a, b); the component is its smallest node."""
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while True:
-        # Done when every node hangs on one other that hangs on none.
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
-        ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-        if ends.filter("hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty():
-            break
         both = edges.union(edges.select("v", "u"))
-        larger = keep(_hang(both, only_larger=True), "larger")
-        edges = keep(_hang(larger, only_larger=False), "smaller")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+        lowest = _lowest(both)
+        # Done when every node hangs on one other that hangs on none; that one is its smallest neighbour.
+        if lowest.filter("hangs > 1 OR (hangs = 1 AND holds)").isEmpty():
+            return lowest.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        larger = keep(_hang(both, lowest, only_larger=True), "larger")
+        edges = keep(_hang(larger, _lowest(larger), only_larger=False), "smaller")

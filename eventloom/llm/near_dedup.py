@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_rows, keep, passing, text_of
+from eventloom.llm.common import arrow_rows, keep, light_driver, passing, text_of
 from eventloom.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -499,12 +499,14 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per document: doc_id, class_id, class_size, kept, text_key."""
     with arrow_rows(docs.sparkSession, 1000):
         signed = keep(sign(docs, settings), "signed")
-    with passing(docs.sparkSession):
-        nodes = nodes_of(signed)
-        labelled = keep(_labelled(nodes.select("node", "key", "source", "n"), link(docs, nodes, settings)), "labelled", lasting=True)
-    whole = keep(labelled.groupBy("component").agg(F.min("source").alias("first"), F.sum("n").alias("class_size")), "classes")
-    by_key = keep(labelled.select("key", "component").join(whole, "component").drop("component"), "class-keys")
-    return signed.select("doc_id", "text_key", "key").join(by_key, "key").select(
+    with light_driver(docs.sparkSession):
+        with passing(docs.sparkSession):
+            nodes = nodes_of(signed)
+            labelled = keep(_labelled(nodes.select("node", "key", "source", "n"), link(docs, nodes, settings)), "labelled", lasting=True)
+        whole = keep(labelled.groupBy("component").agg(F.min("source").alias("first"), F.sum("n").alias("class_size")), "classes")
+        by_key = keep(labelled.select("key", "component").join(whole, "component").drop("component"), "class-keys")
+    # Joined where and when the caller reads it, with the caller's settings: not through the driver either.
+    return signed.select("doc_id", "text_key", "key").join(by_key.hint("merge"), "key").select(
         "doc_id",
         F.col("first.doc_id").alias("class_id"),
         "class_size",
@@ -522,4 +524,4 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document, with its own columns, of each class."""
     kept = classes(docs, settings).filter("kept").select(_row_key(F.col("doc_id"), F.col("text_key")).alias("__row"))
     tagged = docs.withColumn("__row", _row_key(F.col("doc_id").cast("long"), F.unhex(F.md5(text_of()))))
-    return tagged.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return tagged.join(kept.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -104,6 +104,32 @@ def test_near_classes_in_large_buckets(spark):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame, settings).collect()} == _classes(rows)
 
 
+def _most_sent(spark, after: int | None = None) -> int:
+    """The last stage's number; given it, the bytes that the tasks of one later stage sent to the driver at most."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    found = [(s.stageId(), s.resultSize()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return max([n for n, _ in found], default=-1) if after is None else max(size for n, size in found if n > after)
+
+
+def test_near_classes_send_little_to_the_driver(spark):
+    """The driver got 100 keys a partition to sort the nodes by, and the table of all classes to send it on."""
+    frame = spark.range(5_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5((F.col("id") * 7 + k).cast("string")) for k in range(5)]).alias("text"))
+    names = "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before, after = spark.conf.get(names[0]), _most_sent(spark)
+    spark.conf.set(names[0], "40")
+    try:
+        own = [spark.conf.get(n) for n in names]
+        found = near_dedup.classes(frame)
+        assert found.filter("kept AND class_size = 1").count() == 5_000
+        assert own == [spark.conf.get(n) for n in names]
+    finally:
+        spark.conf.set(names[0], before)
+    assert _most_sent(spark, after) < 150_000
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_classes_of_texts_smaller_than_others(spark):
     """Truncations of one long text, in buckets of any size: whoever is the hub, no link is lost."""
     rng = random.Random(4)
