@@ -130,6 +130,14 @@ def test_near_classes_send_little_to_the_driver(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_deduplicate_sends_no_rows_through_the_driver(spark):
+    """The pipeline's stage got the keys of all rows that stay there, to send them to every task."""
+    frame = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("one text of several words "), F.floor(F.col("id") / 2).cast("string")).alias("text"))
+    found = near_dedup.deduplicate(frame)
+    assert sorted(r["doc_id"] for r in found.collect()) == [*range(0, 300, 2)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_classes_of_texts_smaller_than_others(spark):
     """Truncations of one long text, in buckets of any size: whoever is the hub, no link is lost."""
     rng = random.Random(4)
